@@ -26,7 +26,7 @@ def neighbor_sum(edges: DataFrame, q: DataFrame, n_classes: int, ident: str = "c
     """sum over neighbours of w * q: (src, agg). Partial sums are combined before the shuffle by ``src``."""
     right = q.select(F.col(ident).alias("dst"), F.col(p).alias("_q"))
     return edges.select("src", "dst", F.col(weight).alias("_w")).join(right, "dst") \
-                .groupBy("src").agg(A.weighted_sums("_q", n_classes, F.col("_w")).alias("agg"))
+                .groupBy("src").agg(A.E(A.weighted_sums("_q", n_classes, "_w")).alias("agg"))
 
 
 def propagate(probs: DataFrame, edges: DataFrame, alpha: float = 0.75, iters: int = 5, sharp: float = 10.0,
@@ -57,12 +57,11 @@ def propagate(probs: DataFrame, edges: DataFrame, alpha: float = 0.75, iters: in
         base = base.withColumn("_a", F.lit(float(alpha)))
     w = cut(w.select("src", "dst", "w"))
     base = cut(base)
-    zero = F.transform(F.col(p), lambda _: F.lit(0.0))
+    mix = A.both(p, f"coalesce(agg, {A.zeros(p)})", lambda x, y: f"(1 - _a) * {x} + _a * {y}")
     q = base.select(ident, p)
     for step in range(1, iters + 1):
         agg = neighbor_sum(w, q, n, ident, p)
-        q = base.join(agg.withColumnRenamed("src", ident), ident, "left").select(ident, F.zip_with(
-            p, F.coalesce("agg", zero), lambda x, y: (1 - F.col("_a")) * x + F.col("_a") * y).alias(p))
+        q = base.join(agg.withColumnRenamed("src", ident), ident, "left").select(ident, A.E(mix).alias(p))
         if step % every == 0 and step < iters:
             q = cut(q)
     return base.drop(p, "_a").join(q, ident)
@@ -76,15 +75,15 @@ def propagate_lame(probs: DataFrame, edges: DataFrame, beta: float, tol: float =
     """
     n = A.width_of(probs, p)
     w = cut(edge_weights(edges).select("src", "dst", "w"))
-    base = cut(probs.withColumn("_lp", F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-9))))))
-    zero = F.transform(F.col("_lp"), lambda _: F.lit(0.0))
+    base = cut(probs.withColumn("_lp", A.E(A.log_each(p))))
     z = base.select(ident, p)
     for step in range(1, iters + 1):
         agg = neighbor_sum(w, z, n, ident, p).withColumnRenamed("src", ident)
-        logits = F.zip_with("_lp", F.coalesce("agg", zero), lambda a, b: a + F.lit(float(beta)) * b)
+        logits = A.both("_lp", f"coalesce(agg, {A.zeros('_lp')})", lambda a, b: f"{a} + {A.num(beta)} * {b}")
+        change = f"array_max({A.both(p, '_old', lambda a, b: f'abs({a} - {b})')})"
         old = z.select(ident, F.col(p).alias("_old"))
-        z = base.drop(p).join(agg, ident, "left").join(old, ident).withColumn(p, A.softmax(logits)) \
-                .withColumn("_d", F.array_max(F.zip_with(p, "_old", lambda a, b: F.abs(a - b)))) \
+        z = base.drop(p).join(agg, ident, "left").join(old, ident).withColumn(p, A.E(A.softmax(logits))) \
+                .withColumn("_d", A.E(change)) \
                 .select(ident, p, "_d")
         if step % every == 0 or step == iters:
             z = cut(z)
@@ -98,8 +97,8 @@ def rebuild_features(emb: DataFrame, q: DataFrame, lam: float, f: str = "f", p:
                      ident: str = "clip_id") -> DataFrame:
     """[f, lam * sqrt(q)] per row: the features of the next stage's graph."""
     joined = emb.join(q.select(ident, F.col(p).alias("_q")), ident)
-    return joined.withColumn(f, F.concat(F.col(f), F.transform(
-        "_q", lambda x: F.lit(float(lam)) * F.sqrt(x)))).drop("_q")
+    root = A.each("_q", lambda x: f"{A.num(lam)} * sqrt({x})")
+    return joined.withColumn(f, A.E(f"concat({f}, {root})")).drop("_q")
 
 
 def graph_features(emb: DataFrame, probs: DataFrame, gamma: float, by: str = "grp", f: str = "f", p: str = "p",
@@ -114,9 +113,9 @@ def blend_evidence(q: DataFrame, evidence: Sequence[tuple[DataFrame, float]], pa
     for v, g in evidence:
         if g == 0:
             continue
-        gi = F.lit(g / parts)
-        gate = gi * (1 - F.array_max(p)) if gated else gi
-        q = q.join(v.select(ident, F.col(p).alias("_v")), ident).withColumn(p, A.pool(p, "_v", gate)).drop("_v")
+        gate = f"{A.num(g / parts)} * (1 - array_max({p}))" if gated else g / parts
+        q = q.join(v.select(ident, F.col(p).alias("_v")), ident) \
+             .withColumn(p, A.E(A.pool(p, "_v", gate))).drop("_v")
     return q
 
 
@@ -149,7 +148,7 @@ def multistage(probs: DataFrame, emb: DataFrame, stages: Sequence[float], k: int
     unit = cut((emb if centered else unit_by(emb, by, f)).select(by, ident, f))
 
     def stage(q: DataFrame, edges: DataFrame, inject: bool, number: int) -> DataFrame:
-        q = run(q, edges).withColumn(p, A.sharpen(p, temp))
+        q = run(q, edges).withColumn(p, A.E(A.sharpen(p, temp)))
         if inject:
             q = blend_evidence(q, sources, parts, ident, p)
         return cut(hook(q, number) if hook else q)
@@ -206,9 +205,9 @@ def smoothness(probs: DataFrame, weighted: DataFrame, by: str = "grp", ident: st
     """sum_ij w_ij |q_i - q_j|^2 / 2 per group."""
     a = probs.select(by, F.col(ident).alias("src"), F.col(p).alias("_pa"))
     b = probs.select(F.col(ident).alias("dst"), F.col(p).alias("_pb"))
-    d = A.sub("_pa", "_pb")
+    far = A.let(A.sub("_pa", "_pb"), lambda d: A.dot(d, d))
     return weighted.select("src", "dst", "w").join(a, "src").join(b, "dst") \
-                   .groupBy(by).agg((F.sum(F.col("w") * A.dot(d, d)) / 2).alias("smoothness"))
+                   .groupBy(by).agg(A.E(f"sum(w * {far}) / 2").alias("smoothness"))
 
 
 def adaptive_weights(probs: DataFrame, graphs: Sequence[DataFrame], outer: int = 3, r: float = 2.0,
@@ -242,8 +241,7 @@ def label_propagate(df: DataFrame, labelled: str, n_classes: int, by: str = "grp
     pos = edges.where("mutual").withColumn("w", F.greatest("sim", F.lit(0.0)))
     total = F.sum("w").over(Window.partitionBy("src"))
     pos = pos.withColumn("w", F.col("w") / (total + 1e-12))
-    seed = F.when(F.col(labelled), A.one_hot(label, n_classes)) \
-            .otherwise(F.array_repeat(F.lit(0.0), n_classes))
+    seed = A.E(f"IF({labelled}, {A.one_hot(label, n_classes)}, array_repeat(0D, {n_classes}))")
     return propagate(df.select(by, ident, label, labelled, seed.alias("p")), pos, alpha, iters, weighted=True, by=by,
                      ident=ident)
 
@@ -251,7 +249,7 @@ def label_propagate(df: DataFrame, labelled: str, n_classes: int, by: str = "grp
 def average_by(probs: DataFrame, by, ident: str = "clip_id", p: str = "p") -> DataFrame:
     """Replace every row by the mean of its group (segment, label or cluster)."""
     n = A.width_of(probs, p)
-    means = probs.groupBy(*keys(by)).agg(A.mean_array(p, n).alias("_m"))
+    means = probs.groupBy(*keys(by)).agg(A.E(A.mean_array(p, n)).alias("_m"))
     return probs.join(means, keys(by)).withColumn(p, F.col("_m")).drop("_m")
 
 
@@ -260,10 +258,11 @@ def ensemble_runs(probs: DataFrame, how: str = "arith", ident: str = "clip_id",
     """Mean of the rows of several runs per clip, arithmetic or geometric."""
     n = A.width_of(probs, p)
     if how == "arith":
-        return probs.groupBy(by, ident).agg(A.mean_array(p, n).alias("_m")).select(by, ident, A.normalize("_m").alias(p))
-    logs = probs.withColumn("_l", F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-9)))))
-    mean = logs.groupBy(by, ident).agg(A.mean_array("_l", n).alias("_m"))
-    return mean.select(by, ident, A.normalize(F.transform("_m", lambda x: F.exp(x))).alias(p))
+        mean = probs.groupBy(by, ident).agg(A.E(A.mean_array(p, n)).alias("_m"))
+        return mean.select(by, ident, A.E(A.normalize("_m")).alias(p))
+    logs = probs.withColumn("_l", A.E(A.log_each(p)))
+    mean = logs.groupBy(by, ident).agg(A.E(A.mean_array("_l", n)).alias("_m"))
+    return mean.select(by, ident, A.E(A.softmax("_m")).alias(p))
 
 
 def components(edges: DataFrame, nodes: DataFrame, ident: str = "clip_id", max_rounds: int = 100) -> DataFrame:
@@ -295,6 +294,6 @@ def blend_cluster_mean(probs: DataFrame, clusters: DataFrame, rho: float, ident:
     """(1 - rho) p + rho * mean of p over the row's cluster."""
     n = A.width_of(probs, p)
     joined = probs.join(clusters, ident)
-    means = joined.groupBy(by, "component").agg(A.mean_array(p, n).alias("_m"))
+    means = joined.groupBy(by, "component").agg(A.E(A.mean_array(p, n)).alias("_m"))
     return joined.join(means, [by, "component"]).withColumn(
-        p, F.zip_with(p, "_m", lambda x, m: (1 - rho) * x + rho * m)).drop("_m")
+        p, A.E(A.both(p, "_m", lambda x, m: f"(1 - {A.num(rho)}) * {x} + {A.num(rho)} * {m}"))).drop("_m")

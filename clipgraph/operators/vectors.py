@@ -172,19 +172,16 @@ def quadratic(df: DataFrame, cols: list[str], by=None) -> DataFrame:
     return zscore_by(df.withColumn("x", F.array(*[t.cast("double") for t in terms])), by, "x"), names
 
 
-def center_scale_by(df: DataFrame, by, inner: str, f: str = "f", rescale: bool = True) -> DataFrame:
-    """Remove the (group, inner) mean and add the group mean back; rows are then rescaled so that every inner class
-    has the average norm of its group."""
+def center_scale_by(df: DataFrame, by, f: str = "f", rescale: bool = True) -> DataFrame:
+    """Remove the mean of every (group, sensor); rows of such a cell are then rescaled to the overall mean norm."""
     by = keys(by)
-    whole = df.groupBy(*by).agg(A.vec_mean(f).alias("_gm"))
-    out = center_by(df, [*by, inner], f)
-    if rescale:
-        out = out.withColumn("_norm", A.E(A.norm(f)))
-        part = out.groupBy(*by, inner).agg(F.avg("_norm").alias("_pn"))
-        total = out.groupBy(*by).agg(F.avg("_norm").alias("_tn"))
-        out = out.join(part, [*by, inner]).join(total, by)
-        out = out.withColumn(f, A.E(A.scale(f, "_tn / (_pn + 1e-8D)"))).drop("_norm", "_pn", "_tn")
-    return _join_stats(out, whole, by).withColumn(f, A.E(A.add(f, "_gm"))).drop("_gm")
+    out = center_by(df, by, f)
+    if not rescale:
+        return out
+    ref = df.agg(F.avg(A.E(A.norm(f))).alias("_ref"))  # one row
+    cell = out.groupBy(*by).agg(F.avg(A.E(A.norm(f))).alias("_cell"))
+    return _join_stats(out, cell, by).crossJoin(F.broadcast(ref)) \
+        .withColumn(f, A.E(A.scale(f, "_ref / (_cell + 1e-8D)"))).drop("_ref", "_cell")
 
 
 def within_share(df: DataFrame, clip: str, value: str, by) -> DataFrame:
