@@ -162,10 +162,10 @@ def class_mean_basis(df: DataFrame, by: str, label: str, drop_null: bool = True,
     rows = df.where(F.col(label) != 0) if drop_null else df
     own = rows.groupBy(by, label).agg(A.vec_sum(f).alias("_s"), F.count(F.lit(1)).alias("_n"))
     total = own.groupBy(label).agg(A.vec_sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
-    groups = df.select(by).distinct()
-    classes = total.select(label, "_ts", "_tn")
-    # one row per (group, class): the number of classes is fixed
-    grid = groups.join(F.broadcast(classes.limit(100_000)), how="cross").join(own, [by, label], "left")
+    # the class totals (one vector per class) travel as a single row
+    packed = total.agg(F.collect_list(F.struct(label, "_ts", "_tn")).alias("_all"))
+    grid = df.select(by).distinct().crossJoin(F.broadcast(packed)).select(by, E("inline(_all)")) \
+             .join(own, [by, label], "left")
     mean = A.divide(f"IF(_s IS NULL, _ts, {A.sub('_ts', '_s')})", "(_tn - coalesce(_n, 0))")
     means = grid.where("_tn - coalesce(_n, 0) > 0").select(by, label, E(mean).alias("_c"))
     return span_basis(means, by, "_c", center=True, rank=rank)
