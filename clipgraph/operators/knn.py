@@ -76,8 +76,8 @@ def knn_switched(df: DataFrame, by, k: int, fa: str, fb: str, key: str, calibrat
     if calibrate:
         stats = None
         for f, tag in ((fa, "a"), (fb, "b")):
-            gram = gram_by(rows, [*by, key], f, center=False)
-            one = gram.groupBy(*by, key).agg(
+            gram = gram_by(rows.withColumnRenamed(key, "_key"), [*by, "_key"], f, center=False)
+            one = gram.groupBy(*by, "_key").agg(
                 F.sum(A.E(A.dot("g", "g"))).alias("s2"), F.sum(F.col("s") * F.col("s")).alias("s1"), F.max("n").alias("n"))
             part = one.groupBy(*by).agg(F.sum(F.col("n") * F.col("n")).alias("m"),
                                         F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
