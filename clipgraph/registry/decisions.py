@@ -319,8 +319,8 @@ def _(spark, d):
 
 
 @query("prediction_drift", with_ctes(
-    f"SELECT CAST(coalesce(a.k, b.k) AS INT) AS pred, {r('coalesce(a.s, 0)')} AS share_a, {r('coalesce(b.s, 0)')} AS share_b, {r('coalesce(b.s, 0) - "
-    f"coalesce(a.s, 0)')} AS delta FROM (SELECT pred AS k, count(*) / (SELECT count(*) FROM pred) AS s FROM pred GROUP BY pred) a FULL JOIN (SELECT base_pred AS "
+    f"SELECT CAST(coalesce(a.k, b.k) AS INT) AS pred, {r('coalesce(a.s, 0)')} AS share_a, {r('coalesce(b.s, 0)')} AS share_b, "
+    f"{r('coalesce(b.s, 0) - coalesce(a.s, 0)')} AS delta FROM (SELECT pred AS k, count(*) / (SELECT count(*) FROM pred) AS s FROM pred GROUP BY pred) a FULL JOIN (SELECT base_pred AS "
     f"k, count(*) / (SELECT count(*) FROM pred) AS s FROM pred GROUP BY base_pred) b ON a.k = b.k", "pred"))
 def _(spark, d):
     x = predictions(spark, d)
@@ -328,8 +328,8 @@ def _(spark, d):
 
 
 @query("describe_probabilities", with_ctes(
-    f"SELECT grp, {r('avg(m)')} AS mean_top, {r('median(m)')} AS median_top, {r('avg(e)')} AS mean_entropy FROM (SELECT grp, clip_id, max(v) AS m, -sum(v * ln(v + "
-    f"1e-12)) AS e FROM p GROUP BY grp, clip_id) GROUP BY grp", "p"))
+    f"SELECT grp, {r('avg(m)')} AS mean_top, {r('median(m)')} AS median_top, {r('avg(e)')} AS mean_entropy FROM (SELECT grp, clip_id, max(v) AS m, "
+    f"-sum(v * ln(v + 1e-12)) AS e FROM p GROUP BY grp, clip_id) GROUP BY grp", "p"))
 def _(spark, d):
     return rounded(P.describe(probs(spark, d), "grp"))
 
