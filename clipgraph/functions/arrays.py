@@ -72,7 +72,8 @@ def scale(a: str, s: str) -> str:
 
 
 def divide(a: str, s: str) -> str:
-    return let(s, lambda v: each(a, lambda x: f"{x} / {v}"))
+    """Element-wise quotient; a zero divisor gives nulls rather than an error."""
+    return let(f"nullif({s}, 0D)", lambda v: each(a, lambda x: f"{x} / {v}"))
 
 
 def add(a: str, b: str) -> str:
@@ -92,7 +93,7 @@ def l2_normalize(a: str, eps: float = 1e-8) -> str:
 
 
 def cosine(a: str, b: str) -> str:
-    return f"{dot(a, b)} / ({norm(a)} * {norm(b)})"
+    return f"{dot(a, b)} / nullif({norm(a)} * {norm(b)}, 0D)"
 
 
 def argmax(p: str) -> str:

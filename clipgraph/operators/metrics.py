@@ -71,7 +71,8 @@ def loo_percentile(counts: DataFrame, unit: str, value: str, qs: Sequence[float]
 
 
 def wavg(df: DataFrame, value: str, weight: str, by=None, out: str = "value") -> DataFrame:
-    return df.groupBy(*keys(by)).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(out))
+    return df.groupBy(*keys(by)).agg(
+        E(f"sum({value} * {weight}) / nullif(CAST(sum({weight}) AS DOUBLE), 0D)").alias(out))
 
 
 def mode_and_purity(df: DataFrame, by, pred: str, out: str = "mode") -> DataFrame:
@@ -168,7 +169,8 @@ def auc(df: DataFrame, score: str, y: str, by=None, weight: str | None = None) -
     cells = df.groupBy(*by, score).agg(F.sum(E(f"IF({y} = 1, {w}, 0D)")).alias("_p"),
                                        F.sum(E(f"IF({y} = 1, 0D, {w})")).alias("_q"))
     below = prefix_counts(cells, by, score, "_q", "_below")
-    return below.groupBy(*by).agg((F.sum(E("_p * (_below + 0.5D * _q)")) / (F.sum("_p") * F.sum("_q"))).alias("auc"))
+    return below.groupBy(*by).agg(
+        E("sum(_p * (_below + 0.5D * _q)) / nullif(sum(_p) * sum(_q), 0D)").alias("auc"))
 
 
 def pooled_r2(df: DataFrame, y: str, yhat: str, by=None) -> DataFrame:
@@ -176,7 +178,7 @@ def pooled_r2(df: DataFrame, y: str, yhat: str, by=None) -> DataFrame:
     by = keys(by)
     g = df.groupBy(*by).agg(F.sum(E(f"pow({y} - {yhat}, 2)")).alias("e"), F.var_pop(y).alias("v"),
                             F.count(F.lit(1)).alias("n"))
-    return g.agg((1 - F.sum("e") / F.sum(E("v * n"))).alias("r2"))
+    return g.agg(E("1 - sum(e) / nullif(sum(v * n), 0D)").alias("r2"))
 
 
 def class_mean(df: DataFrame, value: str, y: str, by=None, skip: int | None = 0) -> DataFrame:
