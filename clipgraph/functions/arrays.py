@@ -163,6 +163,11 @@ def mean_array(p: str, n: int) -> str:
     return "array(" + ", ".join(f"avg({p}[{i}])" for i in range(n)) + ")"
 
 
+def corr(a: str, b: str) -> str:
+    """Aggregate: Pearson correlation, null where either side is constant."""
+    return f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0D)"
+
+
 def vec_sum(c: str | Column) -> Column:
     """Aggregate: element-wise sum, with map-side partial buffers of one vector per group."""
     return vector_to_array(Summarizer.sum(array_to_vector(E(c) if isinstance(c, str) else c)))

@@ -38,7 +38,7 @@ def sinkhorn(probs: DataFrame, by, q_null: float | str, iters: int = 50, p: str
 def rate_map(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
     """Least-squares line y = intercept + slope x, the correlation and the range of x."""
     return df.groupBy(*keys(by)).agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"),
+        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), A.E(A.corr(x, y)).alias("r"),
         F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 

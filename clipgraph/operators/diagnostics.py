@@ -188,7 +188,7 @@ def neighbor_vs_confusion(edges: DataFrame, rows: DataFrame, n_classes: int, pre
     own = prior.select(F.col("b").alias("a"), F.col("_nb").alias("_na"))
     cells = cells.join(prior, "b", "left").join(own, "a", "left").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(pur)) \
         .na.fill(0, ["_nb", "_na"]).withColumn("null", E("(1 - _pur) * _nb / greatest(_all - _na, 1)"))
-    return cells.where("a <> b").agg(F.corr("nbr", "conf").alias("r"), F.corr("null", "conf").alias("r_null"))
+    return cells.where("a <> b").agg(E(A.corr("nbr", "conf")).alias("r"), E(A.corr("`null`", "conf")).alias("r_null"))
 
 
 def isolation(edges: DataFrame, rows: DataFrame, pred: str = "pred", label: str = "label", by=None,

@@ -254,7 +254,7 @@ def match_series(a: DataFrame, b: DataFrame, name_a: str, name_b: str, sec: str
     Every pair of series is a result row before the ranking; the join is on the second.
     """
     joined = a.select(name_a, sec, F.col(value).alias("_a")).join(b.select(name_b, sec, F.col(value).alias("_b")), sec)
-    r = joined.groupBy(name_a, name_b).agg(F.corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n")) \
+    r = joined.groupBy(name_a, name_b).agg(E(A.corr("_a", "_b")).alias("r"), F.count(F.lit(1)).alias("n")) \
               .where(F.col("n") > min_n)
     w = Window.partitionBy(name_a).orderBy(F.desc_nulls_last("r"), name_b)
     return r.withColumn("rank", F.row_number().over(w)).where("rank <= 2")

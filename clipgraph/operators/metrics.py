@@ -124,7 +124,7 @@ def share_report(df: DataFrame, pred: str, n_classes: int, by=None) -> DataFrame
 def spread_ratio(rates: DataFrame, a: str, b: str) -> DataFrame:
     """Range of a group rate over the range of a second one, and their correlation."""
     return rates.agg(((F.max(a) - F.min(a)) / (F.max(b) - F.min(b) + 1e-9)).alias("spread_ratio"),
-                     F.corr(a, b).alias("rate_corr"))
+                     E(A.corr(a, b)).alias("rate_corr"))
 
 
 def nmi(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
@@ -144,13 +144,13 @@ def nmi(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
 
 
 def pearson(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
-    return df.groupBy(*keys(by)).agg(F.corr(a, b).alias("pearson"))
+    return df.groupBy(*keys(by)).agg(E(A.corr(a, b)).alias("pearson"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
     by = keys(by)
     ranked = average_ranks(average_ranks(df.select(*by, a, b), a, by, "_ra"), b, by, "_rb")
-    return ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"))
+    return ranked.groupBy(*by).agg(E(A.corr("_ra", "_rb")).alias("spearman"))
 
 
 def confusability(conf: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

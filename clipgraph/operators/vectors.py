@@ -207,8 +207,7 @@ def eta2(df: DataFrame, value: str, label: str, by=None) -> DataFrame:
 
 def corr2(df: DataFrame, a: str, b: str, by=None, out: str = "r2") -> DataFrame:
     """Squared Pearson correlation, such as of a score with time."""
-    r = F.corr(a, b)
-    return df.groupBy(*keys(by)).agg((r * r).alias(out))
+    return df.groupBy(*keys(by)).agg(A.E(f"pow({A.corr(a, b)}, 2)").alias(out))
 
 
 def overlap(basis_a: DataFrame, basis_b: DataFrame, by=None, vec: str = "b") -> DataFrame:

@@ -144,7 +144,7 @@ def _(spark, d):
     return rounded(M.nmi(predictions(spark, d), "label", "pred", "grp"))
 
 
-@query("pearson", f"SELECT source, {r('corr(n_chars, quality)')} AS pearson FROM documents JOIN labels USING (doc_id) GROUP BY source")
+@query("pearson", f"SELECT source, {r('covar_pop(n_chars, quality) / nullif(stddev_pop(n_chars) * stddev_pop(quality), 0)')} AS pearson FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def _(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double")).join(table(spark, d, "labels"), "doc_id")
     return rounded(M.pearson(rows, "n_chars", "quality", "source"))
@@ -198,10 +198,10 @@ def _(spark, d):
     return rounded(M.class_mean(events(spark, d), "x", "label", "grp"))
 
 
-@query("rollup_scores", "SELECT l_returnflag, l_linestatus, (round(avg(l_discount), 6) + CAST(0 AS DOUBLE)) AS mean, (round(stddev_pop(l_discount), 6) + CAST(0 AS "
+@query("rollup_scores", "SELECT l_returnflag, l_linestatus, (round(avg(l_extendedprice), 4) + CAST(0 AS DOUBLE)) AS mean, (round(stddev_pop(l_extendedprice), 4) + CAST(0 AS "
                         "DOUBLE)) AS std, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def _(spark, d):
-    return rounded(M.rollup_scores(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_discount"))
+    return rounded(M.rollup_scores(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), 4)
 
 
 @query("cell_shares", "SELECT lang, source, (round(n / sum(n) OVER (PARTITION BY source), 6) + CAST(0 AS DOUBLE)) AS frac FROM (SELECT source, lang, count(*) AS n FROM "
