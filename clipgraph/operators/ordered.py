@@ -60,8 +60,8 @@ def chunked(df: DataFrame, by, idx: str = "idx", before: int = 0, after: int = 0
         targets.append(F.when(pos >= chunk - before, F.struct((own + 1).alias("c"), F.lit(True).alias("g"))))
     if after:
         targets.append(F.when((pos < after) & (own > 0), F.struct((own - 1).alias("c"), F.lit(True).alias("g"))))
-    out = df.withColumn("_t", F.explode(F.array_compact(F.array(*targets)))) \
-            .select("*", F.col("_t.c").alias("_chunk"), F.col("_t.g").alias("_ghost")).drop("_t")
+    out = df.withColumn("_target", F.explode(F.array_compact(F.array(*targets)))) \
+            .select("*", F.col("_target.c").alias("_chunk"), F.col("_target.g").alias("_ghost")).drop("_target")
     return out, Window.partitionBy(*by, "_chunk").orderBy(idx)
 
 

@@ -418,6 +418,7 @@ def _corr(a: str, b: str) -> str:
 
 
 MAG = {"mag_mean": "avg(m)", "mag_std": "stddev_pop(m)", "mag_min": "min(m)", "mag_max": "max(m)", "mag_ptp": "max(m) - min(m)", "mag_absdiff": "avg(abs(dm))", "mag_energy": "avg(m * m)"}
+ROOTS = {k: v for k, v in MAG.items() if k != "mag_energy"}  # the energy has its own query, with fewer digits
 CORR = {f"corr_{a}{b}": _corr(a, b) for a, b in ("xy", "xz", "yz")}
 STATS = {k: v for a in "xyz" for k, v in _stats(a).items()}
 PI2 = 2 * 3.141592653589793
@@ -442,7 +443,8 @@ def feature_query(name: str, exprs: dict[str, str], digits: int = 5) -> None:
 
 pick = lambda *n: {f"{k}_{a}": STATS[f"{k}_{a}"] for k in n for a in "xyz"}
 feature_query("feature_moments", pick("mean", "std", "min", "max"))
-feature_query("feature_quantiles", pick("med", "q25", "q75"))
+# quantiles of values with four decimals are exact decimals: eight digits keep them clear of rounding ties
+feature_query("feature_quantiles", pick("med", "q25", "q75"), 8)
 feature_query("feature_differences", pick("absdiff", "diffstd"))
 feature_query("feature_rms_and_range", pick("rms", "ptp"))
 feature_query("feature_skew_kurtosis", pick("skew", "kurt"))
@@ -459,9 +461,9 @@ for _a in "xyzm":
     spec_cte(_a)
 
 
-@query("power_spectrum", with_ctes(f"SELECT rec, start, CAST(k AS INT) AS bin, {r('p', 3)} AS power FROM specx", "specx"))
+@query("power_spectrum", with_ctes(f"SELECT rec, start, CAST(k AS INT) AS bin, {r('p')} AS power FROM specx", "specx"))
 def _(spark, d):
-    return rounded(X.power_spectrum(feature_rows(spark, d), ["rec", "start"], "x", WIDTH), 3)
+    return rounded(X.power_spectrum(feature_rows(spark, d), ["rec", "start"], "x", WIDTH))
 
 
 def spectral_sql(a: str) -> str:
@@ -494,6 +496,6 @@ def _(spark, d):
 
 
 @query("all_clip_features", with_ctes(
-    "SELECT rec, start, " + ", ".join(f"{r(v, 4)} AS {k}" for k, v in {**STATS, **MAG, **CORR}.items()) + " FROM wz GROUP BY rec, start", "wz"))
+    "SELECT rec, start, " + ", ".join(f"{r(v)} AS {k}" for k, v in {**STATS, **ROOTS, **CORR}.items()) + " FROM wz GROUP BY rec, start", "wz"))
 def _(spark, d):
-    return rounded(features(spark, d).select("rec", "start", *STATS, *MAG, *CORR), 4)
+    return rounded(features(spark, d).select("rec", "start", *STATS, *ROOTS, *CORR))
