@@ -167,7 +167,7 @@ def classifier_oof(df: DataFrame, x: str, y: str, folds: DataFrame, by: str, n_c
         est = est.copy({est.getParam("weightCol"): weight})
     vec = lambda d: d.withColumn("features", array_to_vector(E(A.to_double(x))))
     rows = vec(df.join(folds, by)).withColumn("label", F.col(y).cast("double"))
-    rows = rows.persist()
+    rows = cut(rows)  # every fold reads it several times
     names = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # the fold numbers
     pad = A.let("_p", lambda p: f"transform(sequence(0, {n_classes - 1}), i -> IF(i < size({p}), {p}[i], 0D))")
     parts, tests = [], []
@@ -272,6 +272,7 @@ def link_scorer(pairs: DataFrame, label: str, fold: str, features: Sequence[str]
     """Two-group cross-fit logistic link probability of candidate pairs: trained on one half, applied to the other."""
     rows = pairs.withColumn("_x", F.array(*[F.col(c).cast("double") for c in features])) \
                 .withColumn("_raw", array_to_vector("_x")).withColumn("_label", F.col(label).cast("double"))
+    rows = cut(rows)
     parts = []
     for f in (0, 1):
         train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)

@@ -67,11 +67,12 @@ def gram_by(df: DataFrame, by, f: str = "f", weight: str | None = None, center:
 
     def partial(batches):
         open_sums: dict[tuple, list] = {}
+        kinds: dict[str, pa.DataType] = {}
 
         def flush():
             for key, (g, s, n) in open_sums.items():
                 d = len(s)
-                cols = {b: pa.array([v] * d) for b, v in zip(by, key)}
+                cols = {b: pa.array([v] * d, kinds[b]) for b, v in zip(by, key)}
                 yield pa.RecordBatch.from_pydict({
                     **cols, "i": pa.array(np.arange(d, dtype=np.int32)),
                     "g": pa.FixedSizeListArray.from_arrays(pa.array(g.ravel()), d).cast(pa.list_(pa.float64())),
@@ -80,6 +81,7 @@ def gram_by(df: DataFrame, by, f: str = "f", weight: str | None = None, center:
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            kinds.update({b: table.schema.field(b).type for b in by})
             for key, part in _split(table, by):
                 x = part.column(f).combine_chunks()
                 x = x.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
