@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgraph.session import keys
+from clipgraph.session import keys, small_side
 
 BLOCK_ROWS = 8192
 SLAB_ROWS = 512
@@ -41,17 +41,33 @@ class Block:
         return Block(self.table.sort_by(name))
 
 
+def group_counts(left: DataFrame, right: DataFrame, by) -> DataFrame:
+    """(group, _left, _right): rows per group on both sides, broadcast when the measured size allows."""
+    by = keys(by)
+    n = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_left"))
+    if left is right:
+        return small_side(n.withColumn("_right", F.col("_left")))
+    m = right.groupBy(*by).agg(F.count(F.lit(1)).alias("_right"))
+    return small_side(n.join(m, by) if by else n.crossJoin(m))
+
+
 def block_pairs(left: DataFrame, right: DataFrame, by, kernel: Callable[[Block, Block], pa.Table], schema: str,
-                left_id: str, right_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Apply ``kernel`` to every (left block, right block) pair of a group."""
+                left_id: str, right_id: str, block_rows: int = BLOCK_ROWS, counts: DataFrame | None = None,
+                clip_k: int | None = None) -> DataFrame:
+    """Apply ``kernel`` to every (left block, right block) pair of a group.
+
+    ``counts`` is ``group_counts`` of the pair, when the caller has it already. With ``clip_k`` left rows carry
+    ``_limit``, k clipped to the group size - 2.
+    """
     by = keys(by)
-    left_n = left.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_nl"))
-    right_n = right.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_nr"))
-    grid = left_n.join(right_n, by) if by else left_n.crossJoin(right_n)  # without keys: one row each
+    grid = group_counts(left, right, by) if counts is None else counts
+    grid = grid.select(*by, F.ceil(F.col("_left") / block_rows).alias("_nl"), F.ceil(F.col("_right") / block_rows).alias("_nr"),
+                       F.greatest(F.least(F.col("_left") - 2, F.lit(clip_k or 0)), F.lit(0)).alias("_limit"))
     pick = [*by, "_lb", "_rb"]
 
     def spread(df, ident, own, n_own, other, n_other):
-        joined = df.join(grid, by) if by else df.crossJoin(F.broadcast(grid))
+        side = grid if clip_k is not None and own == "_lb" else grid.drop("_limit")
+        joined = df.join(side, by) if by else df.crossJoin(side)  # without keys: one row
         out = joined.withColumn(own, F.pmod(F.xxhash64(ident), F.col(n_own)).cast("int")) \
                     .withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(n_other) - 1).cast("int")))) \
                     .drop("_nl", "_nr")
@@ -82,18 +98,18 @@ def select_top(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def top_pairs(left: DataFrame, right: DataFrame, by, k: int, sim: Callable[[Block, Block], np.ndarray],
               left_id: str = "clip_id", right_id: str = "clip_id", skip_self: bool = True,
-              limit: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+              clip: bool = False, block_rows: int = BLOCK_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Exact top-k right rows per left row by a similarity of two blocks: (group, src, dst, sim, rank).
 
-    ``limit`` names an optional left column with a smaller per-row k. Blocks return at most k rows per left row,
-    and the partial lists are merged by rank, so no pair list is ever built.
+    ``clip`` limits k to the group size - 2. Blocks return at most k rows per left row, and the partial lists are
+    merged by rank, so no pair list is ever built.
     """
     by = keys(by)
     types = dict(left.dtypes)
     schema = ", ".join([f"{b} {types[b]}" for b in by]
                        + [f"src {types[left_id]}", f"dst {dict(right.dtypes)[right_id]}", "sim double"]
-                       + ([f"_limit {types[limit]}"] if limit else []))
-    names = [*by, "src", "dst", "sim"] + (["_limit"] if limit else [])
+                       + (["_limit long"] if clip else []))
+    names = [*by, "src", "dst", "sim"] + (["_limit"] if clip else [])
 
     def kernel(a: Block, b: Block) -> pa.Table:
         b = b.sort(right_id)
@@ -112,15 +128,15 @@ def top_pairs(left: DataFrame, right: DataFrame, by, k: int, sim: Callable[[Bloc
             cols["src"].append(ids[r])
             cols["dst"].append(b_ids[c])
             cols["sim"].append(s[r, c])
-            if limit:
-                cols["_limit"].append(part[limit][r])
+            if clip:
+                cols["_limit"].append(part["_limit"][r])
         empty = np.array([])
         return pa.table({n: np.concatenate(v) if v else empty for n, v in cols.items()})
 
-    partial = block_pairs(left, right, by, kernel, schema, left_id, right_id, block_rows)
+    partial = block_pairs(left, right, by, kernel, schema, left_id, right_id, block_rows, counts, k if clip else None)
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if limit:
+    if clip:
         ranked = ranked.where(F.col("rank") <= F.col("_limit")).drop("_limit")
     return ranked
 

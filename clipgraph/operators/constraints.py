@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
-from clipgraph.session import cut, keys
+from clipgraph.session import SMALL_BYTES, cut, keys, measured_bytes
+
+
+def _side(state: DataFrame):
+    """How the per-group state joins the rows in every round: its size does not change, so it is measured once."""
+    return F.broadcast if measured_bytes(state) <= SMALL_BYTES else (lambda df: df)
 
 
 def sinkhorn(probs: DataFrame, by, q_null: float | str, iters: int = 50, p: str = "p", eps: float = 1e-9,
@@ -25,14 +30,15 @@ def sinkhorn(probs: DataFrame, by, q_null: float | str, iters: int = 50, p: str
     target = f"transform(sequence(0, {n - 1}), c -> IF(c = 0, _qn, (1 - _qn) / {n - 1}) * _n)"
     state = cut(start.select(*by, A.E(target).alias("_t"), A.E(f"array_repeat(1D, {n})").alias("_v")))
     scaled = A.divide_by_sum(A.both("_q", "_v", lambda x, v: f"{x} * {v}"))
+    side = _side(state)
     for step in range(1, iters + 1):
-        rows = base.select(*by, "_q").join(state, by).select(*by, A.E(scaled).alias("_r"))
+        rows = base.select(*by, "_q").join(side(state), by).select(*by, A.E(scaled).alias("_r"))
         cols = rows.groupBy(*by).agg(A.E(A.weighted_sums("_r", n, "1D")).alias("_col"))
         state = state.join(cols, by).select(*by, "_t", A.E(
             f"transform(_v, (v, c) -> v * _t[c] / (_col[c] + {A.num(eps)}))").alias("_v"))
         if step % every == 0 and step < iters:
             state = cut(state)
-    return base.join(state, by).withColumn(p, A.E(scaled)).drop("_q", "_v", "_t")
+    return base.join(side(state), by).withColumn(p, A.E(scaled)).drop("_q", "_v", "_t")
 
 
 def rate_map(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
@@ -67,9 +73,10 @@ def _bias_rounds(logp: DataFrame, state: DataFrame, by: list[str], l: str, step_
                  n: int, shifted: str) -> DataFrame:
     """Repeat: decide under the current shift, count per group, move the shift. Settled groups drop out."""
     done = None
-    active = state.withColumn("_live", F.lit(True))
+    active = cut(state.withColumn("_live", F.lit(True)))
+    side = _side(active)
     for step in range(1, iters + 1):
-        rows = logp.join(active, by).select(*by, A.E(A.argmax(A.add(l, shifted))).alias("_c"))
+        rows = logp.join(side(active), by).select(*by, A.E(A.argmax(A.add(l, shifted))).alias("_c"))
         counts = rows.groupBy(*by).agg(A.E(
             "array(" + ", ".join(f"count_if(_c = {c})" for c in range(n)) + ")").alias("_cnt"))
         active = step_expr(active.join(counts, by))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
+from clipgraph.operators.blocks import group_counts
 from clipgraph.operators.knn import edge_weights, knn
 from clipgraph.operators.vectors import unit_by
 from clipgraph.session import cut, keys
@@ -31,14 +32,15 @@ def neighbor_sum(edges: DataFrame, q: DataFrame, n_classes: int, ident: str = "c
 
 def propagate(probs: DataFrame, edges: DataFrame, alpha: float = 0.75, iters: int = 5, sharp: float = 10.0,
               conf_pow: float = 0.0, conf_alpha: float = 0.0, node_u: str | None = None, u_beta: float = 0.0,
-              by: str = "grp", ident: str = "clip_id", p: str = "p", weighted: bool = False,
-              every: int = CUT_EVERY) -> DataFrame:
+              by: str = "grp", ident: str = "clip_id", p: str = "p", weighted: bool = False, ready: bool = False,
+              n_classes: int | None = None, every: int = CUT_EVERY) -> DataFrame:
     """Q <- (1 - a) P + a * sum_j w_ij Q_j, repeated.
 
     ``conf_pow`` scales a neighbour's weight by its confidence, ``conf_alpha`` raises a for rows of low confidence and
-    ``node_u`` (with ``u_beta``) drives it from an uncertainty column. ``weighted`` says that edges carry ``w`` already.
+    ``node_u`` (with ``u_beta``) drives it from an uncertainty column. ``weighted`` says that edges carry ``w`` already,
+    ``ready`` that both tables are materialised.
     """
-    n = A.width_of(probs, p)
+    n = n_classes or A.width_of(probs, p)
     w = edges if weighted else edge_weights(edges, sharp)
     if conf_pow > 0:
         conf = probs.select(F.col(ident).alias("dst"), F.pow(F.array_max(p), F.lit(float(conf_pow))).alias("_c"))
@@ -55,8 +57,9 @@ def propagate(probs: DataFrame, edges: DataFrame, alpha: float = 0.75, iters: in
         base = base.withColumn("_a", F.greatest(F.lit(0.0), F.least(F.lit(0.99), rate))).drop("_cn")
     else:
         base = base.withColumn("_a", F.lit(float(alpha)))
-    w = cut(w.select("src", "dst", "w"))
-    base = cut(base)
+    plain = ready and conf_pow == 0 and conf_alpha == 0 and node_u is None
+    w = w.select("src", "dst", "w") if plain and weighted else cut(w.select("src", "dst", "w"))
+    base = base if plain else cut(base)
     mix = A.both(p, f"coalesce(agg, {A.zeros(p)})", lambda x, y: f"(1 - _a) * {x} + _a * {y}")
     q = base.select(ident, p)
     for step in range(1, iters + 1):
@@ -141,8 +144,10 @@ def multistage(probs: DataFrame, emb: DataFrame, stages: Sequence[float], k: int
 
     sources = [] if evidence is None else [(evidence, g)] if isinstance(evidence, DataFrame) else list(evidence)
     parts = len(stages) + 1 if where == "every" else 1
-    run = rule or (lambda q, e: propagate(q, e, alpha, iters, conf_pow=conf_pow, conf_alpha=conf_alpha, by=by,
-                                          ident=ident, p=p))
+    n = A.width_of(probs, p)
+    run = rule or (lambda q, e: propagate(q, e, alpha, iters, conf_pow=conf_pow, conf_alpha=conf_alpha, by=by, ident=ident,
+                                          p=p, weighted=True, ready=True, n_classes=n))
+    probs = cut(probs)
     if transform is not None:
         emb = transform(emb)
     unit = cut((emb if centered else unit_by(emb, by, f)).select(by, ident, f))
@@ -153,15 +158,21 @@ def multistage(probs: DataFrame, emb: DataFrame, stages: Sequence[float], k: int
             q = blend_evidence(q, sources, parts, ident, p)
         return cut(hook(q, number) if hook else q)
 
-    edges = first_edges if first_edges is not None else knn(unit, by, k, f, ident, center=False)
-    edges = cut(edges)
+    counts = group_counts(unit, unit, by)  # the groups stay the same in every stage
+
+    def graph(rows: DataFrame) -> DataFrame:
+        return knn(rows, by, k, f, ident, center=False, counts=counts)
+
+    # the built-in rule needs only the weights, so that is what gets written
+    kept = (lambda e: cut(e)) if rule else (lambda e: cut(edge_weights(e).select("src", "dst", "w")))
+    edges = kept(first_edges if first_edges is not None else graph(unit))
     q = stage(probs, edges, where in ("every", "once"), 0)
     for number, lam in enumerate(stages, 1):
         if rebuild_from != "none":
             source = {"current": q, "initial": probs, "truth": truth}.get(rebuild_from)
             if rebuild_from == "permuted":
                 source = permute_within(q.select(by, ident, p), by, ident, [p], seed + number)
-            edges = cut(knn(rebuild_features(unit, source, lam, f, p, ident), by, k, f, ident, center=False))
+            edges = kept(graph(rebuild_features(unit, source, lam, f, p, ident)))
         q = stage(q, edges, where == "every", number)
     if where == "last":
         q = blend_evidence(q, sources, 1, ident, p)

@@ -12,13 +12,6 @@ from clipgraph.operators.vectors import center_by, gram_by, unit_by
 from clipgraph.session import keys
 
 
-def _with_limit(df: DataFrame, by, k: int) -> DataFrame:
-    """k is clipped to group size - 2."""
-    by = keys(by)
-    sizes = df.groupBy(*by).agg(F.greatest(F.least(F.count(F.lit(1)) - 2, F.lit(k)), F.lit(0)).alias("_k"))
-    return df.join(sizes, by) if by else df.crossJoin(sizes)
-
-
 def mutual(edges: DataFrame) -> DataFrame:
     """Flag edges whose reverse is present. Both directions of a pair meet under one key, in one shuffle."""
     pair = Window.partitionBy(F.least("src", "dst"), F.greatest("src", "dst"))
@@ -27,7 +20,7 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 def knn(df: DataFrame, by, k: int, f: str = "f", ident: str = "clip_id", center: bool = True,
         same: tuple[str, float] | None = None, cross: tuple[str, float] | None = None,
-        is_mutual: bool = True, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+        is_mutual: bool = True, block_rows: int = blocks.BLOCK_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Exact cosine top-k inside groups, self excluded.
 
     ``same=(column, delta)`` subtracts delta from pairs that share the column; ``cross=(column, delta)`` subtracts it
@@ -46,8 +39,7 @@ def knn(df: DataFrame, by, k: int, f: str = "f", ident: str = "clip_id", center:
             s = np.where(other, -1e4, s) if np.isinf(cross[1]) else s - cross[1] * other
         return s
 
-    edges = blocks.top_pairs(_with_limit(rows, by, k), rows, by, k, sim, ident, ident, limit="_k",
-                             block_rows=block_rows)
+    edges = blocks.top_pairs(rows, rows, by, k, sim, ident, ident, clip=True, block_rows=block_rows, counts=counts)
     if not is_mutual:
         return edges.withColumn("mutual", F.lit(True))
     edges = mutual(edges)
@@ -60,8 +52,7 @@ def knn_fused(df: DataFrame, by, k: int, sim, columns: list[str], ident: str = "
               block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Mutual top-k under any block similarity ``sim(left_block, right_block) -> matrix``."""
     rows = df.select(*keys(by), ident, *columns)
-    return mutual(blocks.top_pairs(_with_limit(rows, by, k), rows, by, k, sim, ident, ident, limit="_k",
-                                   block_rows=block_rows))
+    return mutual(blocks.top_pairs(rows, rows, by, k, sim, ident, ident, clip=True, block_rows=block_rows))
 
 
 def knn_switched(df: DataFrame, by, k: int, fa: str, fb: str, key: str, calibrate: bool = False,

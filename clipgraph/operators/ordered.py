@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgraph.session import cut, keys
+from clipgraph.session import cut, keys, small_side
 
 CHUNK = 65536
 _POSITION_BITS = 33  # monotonically_increasing_id = partition << 33 | position
@@ -39,7 +39,8 @@ def with_row_index(df: DataFrame, by, order: Sequence[str | Column], out: str =
     cond = F.col("_pid") == F.col("_h_pid")
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_h_{b}"))
-    joined = parts.join(heads, cond)
+    # one row per group and partition it touches: broadcast when measured small, so the rows are not shuffled again
+    joined = parts.join(small_side(heads), cond)
     added = [(F.col("_m") - F.col("_first") + F.col("_off")).alias(out)]
     if size:
         added.append(F.col("_size").alias(size))

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import with_row_index
-from clipgraph.session import keys
+from clipgraph.session import join_small, keys
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Equi-join of a per-group table. Small ones are broadcast by their measured size, hot keys are split by AQE."""
-    return df.join(stats, by) if by else df.crossJoin(stats)
+    return join_small(df, stats, by)
 
 
 def _in_order(order: str, value: str) -> str:

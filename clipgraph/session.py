@@ -5,6 +5,7 @@ import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -24,6 +25,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_BYTES = 128 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Rows and array items of a materialised table, at eight bytes an item and sixteen a plain column."""
+    flat = 16 * len(df.columns)
+    parts = [str(flat)]
+    for name, kind in df.dtypes:
+        if kind.startswith("array<array"):
+            parts.append(f"8L * aggregate(transform(`{name}`, x -> size(x)), 0, (s, x) -> s + x)")
+        elif kind.startswith("array<"):
+            parts.append(f"8L * size(`{name}`)")
+    return int(df.agg(F.expr(f"coalesce(sum({' + '.join(parts)}), 0)").alias("n")).head()[0])
+
+
+def small_side(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """Materialise a per-group table and broadcast it only when its measured size allows.
+
+    The planner cannot know how small an aggregate is and would shuffle the large side first. Beyond the limit the
+    table is returned as it is: the join then shuffles and hot keys are split at run time.
+    """
+    df = cut(df)
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def join_small(df: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
+    """Attach a per-group table (a single row without keys)."""
+    return df.join(small_side(side), by) if by else df.crossJoin(F.broadcast(side))
+
+
 def keys(by: str | Sequence[str] | None) -> list[str]:
     """Normalise a grouping argument to a list of column names."""
     if by is None:
