@@ -41,8 +41,8 @@ def _moments(a: str) -> dict[str, str]:
     c = f"({a} - _mu_{a})"
     return {
         f"mean_{a}": f"avg({a})", f"std_{a}": f"sqrt(avg({c} * {c}))", f"min_{a}": f"min({a})", f"max_{a}": f"max({a})",
-        f"med_{a}": f"percentile({a}, 0.5D)", f"q25_{a}": f"percentile({a}, 0.25D)",
-        f"q75_{a}": f"percentile({a}, 0.75D)", f"absdiff_{a}": f"avg(abs(_d_{a}))",
+        # one value table per clip and axis for the three quantiles; a clip holds ``width`` values
+        f"_q_{a}": f"percentile({a}, array(0.25D, 0.5D, 0.75D))", f"absdiff_{a}": f"avg(abs(_d_{a}))",
         f"diffstd_{a}": f"stddev_pop(_d_{a})", f"rms_{a}": f"sqrt(avg({a} * {a}))", f"ptp_{a}": f"max({a}) - min({a})",
         f"skew_{a}": f"avg({c} * {c} * {c}) / pow(sqrt(avg({c} * {c})) + 1e-6D, 3)",
         f"kurt_{a}": f"avg({c} * {c} * {c} * {c}) / pow(sqrt(avg({c} * {c})) + 1e-6D, 4)",
@@ -103,13 +103,13 @@ def clip_features(samples: DataFrame, by, width: int, axes: Sequence[str] = AXES
     names = [*axes, "m"] if many else list(axes)
     specs = {f"_s_{a}": power_sums(a, width, pos) for a in names} if spectra else {}
     out = rows.groupBy(*by).agg(*[E(t).alias(n) for n, t in {**aggs, **specs}.items()])
-    derived: dict[str, str] = {}
+    derived = {f"{n}_{a}": f"_q_{a}[{i}]" for a in axes for i, n in enumerate(("q25", "med", "q75"))}
     if spectra:
         for a in axes:
             derived.update(spectrum_features(f"_s_{a}", a, bands))
         if many:
             derived.update(spectrum_features("_s_m", "m", bands, "mag"))
-    return out.select(*by, *[E(A.clean(n)).alias(n) for n in aggs],
+    return out.select(*by, *[E(A.clean(n)).alias(n) for n in aggs if not n.startswith("_q_")],
                       *[E(A.let(t, A.clean)).alias(n) for n, t in derived.items()])
 
 

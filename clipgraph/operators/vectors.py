@@ -60,6 +60,8 @@ def gram_by(df: DataFrame, by, f: str = "f", weight: str | None = None, center:
     total. Tasks add up the rows they hold; only d x d partial sums are shuffled, whatever the group size.
     """
     by = keys(by)
+    if {"i", "g", "s", "n"} & set(by):
+        raise ValueError("group columns must not be named i, g, s or n")
     types = dict(df.dtypes)
     schema = ", ".join([f"{b} {types[b]}" for b in by] + ["i int", "g array<double>", "s double", "n double"])
     rows = df.select(*by, f, *([weight] if weight else []))
