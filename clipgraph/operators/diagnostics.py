@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays as A
 from clipgraph.operators import metrics as M
 from clipgraph.operators.ordered import quantiles
-from clipgraph.session import keys
+from clipgraph.session import join_small, keys
 
 E = A.E
 
@@ -92,7 +92,7 @@ def hubness(edges: DataFrame, rows: DataFrame, k: int, pred: str = "pred", label
               .withColumn("deg", E("CAST(coalesce(_in, 0) AS DOUBLE)"))
     level = quantiles(deg, by, "deg", [0.95]).select(by, F.col("deg").alias("_p95"))
     mean = deg.groupBy(by).agg(F.avg("deg").alias("_mu"), F.stddev_pop("deg").alias("_sd"))
-    joined = deg.join(level, by).join(mean, by)
+    joined = join_small(deg, level.join(mean, by), [by])
     return joined.groupBy(by).agg(
         E("avg(pow(deg - _mu, 3)) / (pow(first(_sd), 3) + 1e-9D)").alias("skew"),
         (F.max("deg") / k).alias("max_over_k"),

@@ -10,7 +10,7 @@ from clipgraph.functions import arrays as A
 from clipgraph.operators.blocks import group_counts
 from clipgraph.operators.knn import edge_weights, knn
 from clipgraph.operators.vectors import unit_by
-from clipgraph.session import cut, keys
+from clipgraph.session import cut, join_small, keys
 
 CUT_EVERY = 5
 
@@ -18,7 +18,7 @@ CUT_EVERY = 5
 def _minmax(df: DataFrame, by, value: Column, out: str) -> DataFrame:
     by = keys(by)
     span = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return df.join(span, by).withColumn(out, (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)) \
+    return join_small(df, span, by).withColumn(out, (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)) \
              .drop("_lo", "_hi")
 
 
@@ -261,7 +261,7 @@ def average_by(probs: DataFrame, by, ident: str = "clip_id", p: str = "p") -> Da
     """Replace every row by the mean of its group (segment, label or cluster)."""
     n = A.width_of(probs, p)
     means = probs.groupBy(*keys(by)).agg(A.E(A.mean_array(p, n)).alias("_m"))
-    return probs.join(means, keys(by)).withColumn(p, F.col("_m")).drop("_m")
+    return join_small(probs, means, keys(by)).withColumn(p, F.col("_m")).drop("_m")
 
 
 def ensemble_runs(probs: DataFrame, how: str = "arith", ident: str = "clip_id", p: str = "p",
@@ -306,5 +306,5 @@ def blend_cluster_mean(probs: DataFrame, clusters: DataFrame, rho: float, ident:
     n = A.width_of(probs, p)
     joined = probs.join(clusters, ident)
     means = joined.groupBy(by, "component").agg(A.E(A.mean_array(p, n)).alias("_m"))
-    return joined.join(means, [by, "component"]).withColumn(
+    return join_small(joined, means, [by, "component"]).withColumn(
         p, A.E(A.both(p, "_m", lambda x, m: f"(1 - {A.num(rho)}) * {x} + {A.num(rho)} * {m}"))).drop("_m")

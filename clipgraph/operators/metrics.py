@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import average_ranks, prefix_counts, quantiles, with_row_index
-from clipgraph.session import keys
+from clipgraph.session import join_small, keys
 
 E = A.E
 
@@ -225,7 +225,7 @@ def top_n(df: DataFrame, order: Sequence, n: int) -> DataFrame:
 def group_window(df: DataFrame, value: str, fn: str, by, out: str) -> DataFrame:
     """A group aggregate on every row. A join of the aggregate, so a hot group is not sorted in one task."""
     by = keys(by)
-    return df.join(df.groupBy(*by).agg(E(f"{fn}({value})").alias(out)), by)
+    return join_small(df, df.groupBy(*by).agg(E(f"{fn}({value})").alias(out)), by)
 
 
 def bootstrap_ci(conf: DataFrame, by: str, reps: int, seed: int = 0, y: str = "y", pred: str = "pred",

@@ -17,7 +17,7 @@ from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import quantiles, with_row_index
 from clipgraph.operators.subspace import _per_matrix
 from clipgraph.operators.vectors import center_by, gram_by
-from clipgraph.session import cut, keys
+from clipgraph.session import cut, join_small, keys
 
 E = A.E
 
@@ -119,14 +119,14 @@ def ridge_oof(df: DataFrame, x: str, y: str, lam: float | Sequence[float], folds
               out: str = "yhat", standardize: bool = True) -> DataFrame:
     """Out-of-fold ridge predictions. A fold's training sums are the totals minus its own, so rows are summed once."""
     lams = [lam] if isinstance(lam, (int, float)) else list(lam)
-    rows = df.join(folds, by)
+    rows = join_small(df, folds, [by])
     dx = A.width_of(df, x)
     own = cut(gram_by(rows.select("fold", F.concat(x, y).alias("_xy")), "fold", "_xy", center=False))
     total = own.groupBy("i").agg(A.vec_sum("g").alias("_g"), F.sum("s").alias("_s"), F.sum("n").alias("_n"))
     train = own.join(total, "i").select("fold", "i", E(A.sub("_g", "g")).alias("g"), (F.col("_s") - F.col("s")).alias("s"),
                                         (F.col("_n") - F.col("n")).alias("n"))
     models = cut(_ridge_solve(train, ["fold"], dx, lams, standardize))
-    return rows.join(models, "fold").withColumn(out, E(linear_apply(x))).drop("coef", "icept")
+    return join_small(rows, models, ["fold"]).withColumn(out, E(linear_apply(x))).drop("coef", "icept")
 
 
 def ridge_cv(df: DataFrame, x: str, y: str, lams: Sequence[float], folds: DataFrame, by: str) -> DataFrame:
@@ -142,7 +142,7 @@ def residualize(df: DataFrame, y: str, x: str, alpha: float, by=None) -> DataFra
     by = keys(by)
     model = ridge_fit(df, x, y, [alpha], by, standardize=False).drop("lam")
     mean = df.groupBy(*by).agg(A.vec_mean(y).alias("_ym"))
-    joined = df.join(model, by).join(mean, by) if by else df.crossJoin(F.broadcast(model)).crossJoin(F.broadcast(mean))
+    joined = join_small(df, model.join(mean, by), by) if by else df.crossJoin(F.broadcast(model)).crossJoin(F.broadcast(mean))
     return joined.withColumn(y, E(A.add(A.sub(y, linear_apply(x)), "_ym"))).drop("coef", "icept", "_ym")
 
 
@@ -166,7 +166,7 @@ def classifier_oof(df: DataFrame, x: str, y: str, folds: DataFrame, by: str, n_c
     if weight:
         est = est.copy({est.getParam("weightCol"): weight})
     vec = lambda d: d.withColumn("features", array_to_vector(E(A.to_double(x))))
-    rows = vec(df.join(folds, by)).withColumn("label", F.col(y).cast("double"))
+    rows = vec(join_small(df, folds, [by])).withColumn("label", F.col(y).cast("double"))
     rows = cut(rows)  # every fold reads it several times
     names = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # the fold numbers
     pad = A.let("_p", lambda p: f"transform(sequence(0, {n_classes - 1}), i -> IF(i < size({p}), {p}[i], 0D))")
@@ -294,7 +294,7 @@ def self_train(df: DataFrame, probs: DataFrame, x: str, q: float, beta: float, n
     rows = df.join(probs.select(ident, p), ident).withColumn("_conf", E(f"array_max({p})")) \
              .withColumn("_y", E(A.argmax(p)))
     level = quantiles(rows, by, "_conf", [q]).select(by, F.col("_conf").alias("_t"))
-    rows = rows.join(level, by).withColumn("_use", F.col("_conf") >= F.col("_t"))
+    rows = join_small(rows, level, [by]).withColumn("_use", F.col("_conf") >= F.col("_t"))
     good = rows.where("_use").groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("_y").alias("_c")) \
                .select(by, E(f"_n >= {min_rows} AND _c >= {min_classes}").alias("_ok"))
     rows = cut(rows.join(good, by).withColumn("features", array_to_vector(E(A.to_double(x))))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgraph.session import cut, keys, small_side
+from clipgraph.session import cut, join_small, keys, small_side
 
 CHUNK = 65536
 _POSITION_BITS = 33  # monotonically_increasing_id = partition << 33 | position
@@ -85,7 +85,7 @@ def running_sum(df: DataFrame, value: str, by, idx: str = "idx", out: str = "run
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_chunk", F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_carry"))
-    return parts.withColumn("_in", inner).join(totals, [*by, "_chunk"]) \
+    return join_small(parts.withColumn("_in", inner), totals, [*by, "_chunk"]) \
                 .withColumn(out, F.col("_in") + F.col("_carry")).drop("_in", "_carry", "_chunk", "_ghost")
 
 
@@ -105,7 +105,7 @@ def fill_forward_from(df: DataFrame, value: str, by, idx: str = "idx", out: str
         F.first("_head", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
         F.last("_tail", ignorenulls=True)
          .over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
-    return parts.withColumn("_in", inner).join(chunks, [*by, "_chunk"]) \
+    return join_small(parts.withColumn("_in", inner), chunks, [*by, "_chunk"]) \
                 .withColumn(out, F.coalesce("_in", "_later", "_last")) \
                 .drop("_in", "_later", "_last", "_chunk", "_ghost")
 

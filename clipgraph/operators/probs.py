@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators.metrics import confusion, macro_f1, prf
-from clipgraph.session import cut, keys
+from clipgraph.session import cut, join_small, keys
 
 
 def normalize_probs(df: DataFrame, p: str = "p", fallback: str = "zero") -> DataFrame:
@@ -67,7 +67,7 @@ def with_prior(df: DataFrame, by=None, p: str = "p", out: str = "prior") -> Data
     n = A.width_of(df, p)
     if not keys(by):
         return df.crossJoin(F.broadcast(df.agg(A.E(A.mean_array(p, n)).alias(out))))  # one row
-    return df.join(df.groupBy(*keys(by)).agg(A.E(A.mean_array(p, n)).alias(out)), keys(by))
+    return join_small(df, df.groupBy(*keys(by)).agg(A.E(A.mean_array(p, n)).alias(out)), keys(by))
 
 
 def prior_correct(df: DataFrame, tau: float, by=None, p: str = "p") -> DataFrame:

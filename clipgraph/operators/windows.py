@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import (CHUNK, chunked, equal_parts, fill_forward_from, running_sum, shifted,
                                          with_row_index)
-from clipgraph.session import keys
+from clipgraph.session import join_small, keys
 
 E = A.E
 
@@ -57,7 +57,7 @@ def align_rates(clips: DataFrame, frames: DataFrame, sample_rate: int = 50, fram
     """First frame of a clip in a stream of another rate; clips whose second is not fully covered are dropped."""
     by = keys(by)
     length = frames.groupBy(*by).agg((F.max(frame_idx) + 1).alias("_len"))
-    return clips.join(length, by).withColumn("frame0", E(f"CAST(floor(start * {frame_rate} / {sample_rate}) AS BIGINT)")) \
+    return join_small(clips, length, by).withColumn("frame0", E(f"CAST(floor(start * {frame_rate} / {sample_rate}) AS BIGINT)")) \
                 .where(E(f"frame0 + {frame_rate} <= _len")).drop("_len")
 
 
@@ -77,7 +77,7 @@ def frame_slice(clips: DataFrame, frames: DataFrame, offset: str | int, length:
     off = OFFSETS[offset] if isinstance(offset, str) else offset
     end = frames.groupBy(*by).agg((F.max(frame_idx) + 1).alias("_len"))
     first = f"greatest(0, least(frame0 + {off}, _len - {length}))"
-    wanted = clips.join(end, by).withColumn("_first", E(first)) \
+    wanted = join_small(clips, end, by).withColumn("_first", E(first)) \
         .withColumn("pos", E(f"explode(sequence(0, {length - 1}))")) \
         .withColumn(frame_idx, E("_first + pos")).drop("_len", "_first")
     return wanted.join(frames, [*by, frame_idx])

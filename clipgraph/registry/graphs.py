@@ -37,6 +37,12 @@ def _(spark, d):
     return flat(edges(spark, d))
 
 
+@query("pruned_knn", edges_sql(""))
+def _(spark, d):
+    """Exact search with cells of about twenty rows; at cluster size a cell holds thousands."""
+    return flat(K.knn_pruned(emb(spark, d), "grp", KNN, cell_rows=20))
+
+
 @query("edge_weights", with_ctes(f"SELECT src, dst, {r('w')} AS w FROM w WHERE w > 0", "w"))
 def _(spark, d):
     return rounded(weights(spark, d).where("w > 0").select("src", "dst", "w"))

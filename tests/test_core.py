@@ -73,6 +73,14 @@ def test_block_size_does_not_show(emb):
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()
 
 
+def test_pruned_search_is_exact_on_clusters(spark):
+    mid = RNG.normal(size=(6, 5))
+    x = mid[np.arange(180) % 6] + 0.05 * RNG.normal(size=(180, 5))
+    df = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(180)], "clip_id long, grp int, f array<double>")
+    a, b = (e.select("src", "dst", "mutual") for e in (knn.knn(df, "grp", 6), knn.knn_pruned(df, "grp", 6, cell_rows=15)))
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
 def test_ties_go_to_the_lower_id(spark):
     rows = [(i, 0, [1.0, 0.0]) for i in range(8)]
     e = knn.knn(spark.createDataFrame(rows, "clip_id long, grp int, f array<double>"), "grp", 2, center=False, block_rows=3)
