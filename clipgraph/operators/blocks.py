@@ -88,12 +88,17 @@ def select_top(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     m = sim.shape[1]
     if m > k:
         cut_at = np.partition(sim, m - k, axis=1)[:, m - k][:, None]
-        above = sim > cut_at
-        level = sim == cut_at
-        take = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+        take = sim >= cut_at
+        tied = np.flatnonzero(take.sum(1) > k)  # only these rows have more than k at or above the cut
+        if len(tied):
+            level = sim[tied] == cut_at[tied]
+            above = take[tied] & ~level
+            take[tied] = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
     else:
         take = np.ones(sim.shape, bool)
-    return np.nonzero(take & np.isfinite(sim))
+    r, c = np.nonzero(take)
+    ok = np.isfinite(sim[r, c])
+    return r[ok], c[ok]
 
 
 def top_pairs(left: DataFrame, right: DataFrame, by, k: int, sim: Callable[[Block, Block], np.ndarray],
@@ -118,10 +123,13 @@ def top_pairs(left: DataFrame, right: DataFrame, by, k: int, sim: Callable[[Bloc
         for part in a.slabs():
             if b.rows == 0:
                 break
-            s = np.round(sim(part, b), 12)
+            s = sim(part, b)
+            np.round(s, 12, out=s)
             ids = part[left_id]
-            if skip_self:
-                s = np.where(ids[:, None] == b_ids[None, :], -np.inf, s)
+            if skip_self:  # block ids are sorted
+                at = np.minimum(np.searchsorted(b_ids, ids), b.rows - 1)
+                own = np.flatnonzero(b_ids[at] == ids)
+                s[own, at[own]] = -np.inf
             r, c = select_top(s, k)
             for g in by:
                 cols[g].append(part[g][r])

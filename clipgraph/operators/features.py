@@ -27,14 +27,11 @@ def _prepared(samples: DataFrame, by: list[str], axes: Sequence[str], pos: str,
         names.append("m")
     order = Window.partitionBy(*by).orderBy(pos)
     whole = Window.partitionBy(*by)
-    for a in names:
-        rows = rows.withColumn(f"_d_{a}", F.col(a) - F.lag(a).over(order)) \
-                   .withColumn(f"_mu_{a}", F.avg(a).over(whole))
-    for a in names:
-        rows = rows.withColumn(f"_sg_{a}", E(f"signum({a} - _mu_{a})"))
-    for a in names:
-        rows = rows.withColumn(f"_z_{a}", (F.col(f"_sg_{a}") != F.lag(f"_sg_{a}").over(order)).cast("int"))
-    return rows
+    # one pass per window kind: lags, means, then the lagged signs
+    rows = rows.withColumns({**{f"_d_{a}": F.col(a) - F.lag(a).over(order) for a in names},
+                             **{f"_mu_{a}": F.avg(a).over(whole) for a in names}})
+    rows = rows.withColumns({f"_sg_{a}": E(f"signum({a} - _mu_{a})") for a in names})
+    return rows.withColumns({f"_z_{a}": (F.col(f"_sg_{a}") != F.lag(f"_sg_{a}").over(order)).cast("int") for a in names})
 
 
 def _moments(a: str) -> dict[str, str]:

@@ -10,7 +10,7 @@ from clipgraph.functions import arrays as A
 from clipgraph.operators.blocks import group_counts
 from clipgraph.operators.knn import edge_weights, knn
 from clipgraph.operators.vectors import unit_by
-from clipgraph.session import cut, join_small, keys
+from clipgraph.session import SMALL_BYTES, cut, join_small, keys, measured_bytes
 
 CUT_EVERY = 5
 
@@ -22,10 +22,16 @@ def _minmax(df: DataFrame, by, value: Column, out: str) -> DataFrame:
              .drop("_lo", "_hi")
 
 
+def row_side(base: DataFrame, ident: str = "clip_id", p: str = "p") -> Callable[[DataFrame], DataFrame]:
+    """How the probability rows meet the edges in every step. Their size never changes, so it is measured once: small
+    tables are broadcast and the edges stay where they are, larger ones are shuffled by the edge target."""
+    return F.broadcast if measured_bytes(base.select(ident, p)) <= SMALL_BYTES else (lambda df: df)
+
+
 def neighbor_sum(edges: DataFrame, q: DataFrame, n_classes: int, ident: str = "clip_id", p: str = "p",
-                 weight: str = "w") -> DataFrame:
+                 weight: str = "w", side: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """sum over neighbours of w * q: (src, agg). Partial sums are combined before the shuffle by ``src``."""
-    right = q.select(F.col(ident).alias("dst"), F.col(p).alias("_q"))
+    right = side(q.select(F.col(ident).alias("dst"), F.col(p).alias("_q")))
     return edges.select("src", "dst", F.col(weight).alias("_w")).join(right, "dst") \
                 .groupBy("src").agg(A.E(A.weighted_sums("_q", n_classes, "_w")).alias("agg"))
 
@@ -61,9 +67,10 @@ def propagate(probs: DataFrame, edges: DataFrame, alpha: float = 0.75, iters: in
     w = w.select("src", "dst", "w") if plain and weighted else cut(w.select("src", "dst", "w"))
     base = base if plain else cut(base)
     mix = A.both(p, f"coalesce(agg, {A.zeros(p)})", lambda x, y: f"(1 - _a) * {x} + _a * {y}")
+    side = row_side(base, ident, p)
     q = base.select(ident, p)
     for step in range(1, iters + 1):
-        agg = neighbor_sum(w, q, n, ident, p)
+        agg = neighbor_sum(w, q, n, ident, p, side=side)
         q = base.join(agg.withColumnRenamed("src", ident), ident, "left").select(ident, A.E(mix).alias(p))
         if step % every == 0 and step < iters:
             q = cut(q)
@@ -79,9 +86,10 @@ def propagate_lame(probs: DataFrame, edges: DataFrame, beta: float, tol: float =
     n = A.width_of(probs, p)
     w = cut(edge_weights(edges).select("src", "dst", "w"))
     base = cut(probs.withColumn("_lp", A.E(A.log_each(p))))
+    side = row_side(base, ident, p)
     z = base.select(ident, p)
     for step in range(1, iters + 1):
-        agg = neighbor_sum(w, z, n, ident, p).withColumnRenamed("src", ident)
+        agg = neighbor_sum(w, z, n, ident, p, side=side).withColumnRenamed("src", ident)
         logits = A.both("_lp", f"coalesce(agg, {A.zeros('_lp')})", lambda a, b: f"{a} + {A.num(beta)} * {b}")
         change = f"array_max({A.both(p, '_old', lambda a, b: f'abs({a} - {b})')})"
         old = z.select(ident, F.col(p).alias("_old"))

@@ -175,7 +175,7 @@ def average_sensors(probs: DataFrame, k: int, seed: int = 0, ident: str = "clip_
 def smooth_links(q: DataFrame, links: DataFrame, a: float, iters: int = 10, ident: str = "clip_id",
                  p: str = "p", every: int = 5) -> DataFrame:
     """Q <- (1 - a) Q0 + a mean(linked Q), renormalised, along an undirected link table."""
-    from clipgraph.operators.graph import neighbor_sum
+    from clipgraph.operators.graph import neighbor_sum, row_side
 
     n = A.width_of(q, p)
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -183,11 +183,12 @@ def smooth_links(q: DataFrame, links: DataFrame, a: float, iters: int = 10, iden
     deg = both.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
     both = cut(both.join(deg, "src").select("src", "dst", (1 / F.col("_d")).alias("w")))
     base = cut(q)
+    side = row_side(base, ident, p)
     z = base.select(ident, p)
     step_p = A.divide_by_sum(f"IF(agg IS NULL, {p}, " + A.both(
         p, "agg", lambda x, y: f"{A.num(1 - a)} * {x} + {A.num(a)} * {y}") + ")")
     for step in range(1, iters + 1):
-        agg = neighbor_sum(both, z, n, ident, p).withColumnRenamed("src", ident)
+        agg = neighbor_sum(both, z, n, ident, p, side=side).withColumnRenamed("src", ident)
         z = base.join(agg, ident, "left").select(ident, A.E(step_p).alias(p))
         if step % every == 0 and step < iters:
             z = cut(z)
