@@ -282,7 +282,7 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def paired_diff(scores: DataFrame, ref: str, config: str = "config", seed: str = "seed",
                 value: str = "f1") -> DataFrame:
-    """Mean difference to the reference configuration over seeds, and whether all seeds agree in sign."""
+    """Mean difference to a chosen configuration over seeds, and whether all seeds agree in sign."""
     base = scores.where(F.col(config) == ref).select(seed, F.col(value).alias("_ref"))
     d = scores.join(base, seed).withColumn("_d", F.col(value) - F.col("_ref"))
     return d.groupBy(config).agg(F.avg(value).alias("mean"), F.avg("_d").alias("diff"),

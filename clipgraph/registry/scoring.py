@@ -337,8 +337,9 @@ cte("cand", "SELECT src, dst, d1 AS d FROM ranks WHERE r1 < 4 OR r2 < 4", "ranks
 
 
 def costs(spark, d):
-    two = J.nearest(emb(spark, d), "grp", 100, dists()["cos"], ["f"]).select("src", "dst", "d")
-    return kept(spark, d, "costs", lambda: two.join(candidates(spark, d).select("src", "dst"), ["src", "dst"]))
+    """All candidates with their cosine distance."""
+    expr = {"d": f"1 - {A.cosine('a_f', 'b_f')}"}
+    return kept(spark, d, "costs", lambda: J.pair_values(candidates(spark, d).select("src", "dst"), emb(spark, d), expr, ["f"]))
 
 
 @query("mutual_best_pairs", with_ctes(
