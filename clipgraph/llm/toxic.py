@@ -37,12 +37,6 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(LOWER_TABLE))
 
 
-def windows_of(words: list[str]) -> list[list[str]]:
-    """Overlapping windows at half steps."""
-    step = WINDOW // 2
-    return [words[i:i + WINDOW] for i in range(0, max(1, len(words) - step), step)]
-
-
 class Model:
     """Subword scalars and bias of the log-odds."""
 
@@ -78,28 +72,35 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, max_windows: i
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -np.inf)
     rng = np.random.default_rng(seed)
-    bags, owner, known = [], [], {}
+    # windows hold word numbers and a word its n-grams once, so memory grows with the windows and not with their n-grams
+    number, ngrams, rows, owner = {}, [], [], []
+    seen = np.zeros((2, BUCKETS))
     for i, t in enumerate(texts):
-        ws = windows_of(words_of(t))
-        if len(ws) > max_windows:
-            ws = [ws[j] for j in np.linspace(0, len(ws) - 1, max_windows).astype(int)]
-        for w in ws:
-            g = [x for word in w for x in (known.get(word) or known.setdefault(word, grams(word)))]
-            if g:
-                bags.append(np.array(g))
+        ws = words_of(t)
+        starts = range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2)
+        if len(starts) > max_windows:
+            starts = [starts[k] for k in np.linspace(0, len(starts) - 1, max_windows).astype(int)]
+        mine = set()
+        for lo in starts:
+            ids = [number.setdefault(w, len(number)) for w in ws[lo:lo + WINDOW]]
+            if ids:
+                for w in ws[lo:lo + WINDOW]:
+                    if number[w] == len(ngrams):
+                        ngrams.append(np.array(grams(w), dtype=np.int32))
+                rows.append(ids + [-1] * (WINDOW - len(ids)))
                 owner.append(i)
-    if not bags:
+                mine.update(ids)
+        if mine:
+            seen[int(labels[i]), np.unique(np.concatenate([ngrams[x] for x in mine]))] += 1
+    if not rows:
         return Model(np.zeros(BUCKETS), -np.inf)
-    owner = np.array(owner)
-    flat, size = np.concatenate(bags), np.array([len(b) for b in bags])
-    ends = np.cumsum(size)
-    starts = ends - size
+    windows, owner = np.array(rows, dtype=np.int32), np.array(owner, dtype=np.int32)
     y = labels[owner].astype(float)
+    flat = np.concatenate(ngrams)
+    many = np.array([len(g) for g in ngrams] + [0], dtype=np.int64)  # the last one stands for the padding
+    firsts = np.cumsum(many[:-1]) - many[:-1]
+    size = many[windows].sum(axis=1)
     # embeddings start from the log-odds of documents that hold the n-gram, along one direction, plus noise
-    seen = np.zeros((2, BUCKETS))
-    for c in (0, 1):
-        pairs = np.unique(np.repeat(owner, size)[np.repeat(y, size) == c].astype(np.int64) * BUCKETS + flat[np.repeat(y, size) == c])
-        seen[c] = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
     total = np.array([max(1, (labels == 0).sum()), max(1, (labels == 1).sum())])
     odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
     odds[(seen.sum(axis=0) < 3)] = 0
@@ -109,14 +110,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, max_windows: i
     bias, g_emb, g_layer, g_bias = -1.0, np.full(BUCKETS, 1e-3), 1e-3, 1e-3
     layer = layer * 2
     for r in range(rounds):
-        logits = np.add.reduceat((emb @ layer)[flat], starts) / size + bias
+        per_word = np.append(np.add.reduceat((emb @ layer)[flat], firsts), 0.0)
+        logits = per_word[windows].sum(axis=1) / size + bias
         worst = pd.Series(logits).groupby(owner).idxmax().to_numpy()
         extra = rng.choice(np.nonzero(y == 0)[0], min(len(worst), int((y == 0).sum())), replace=False)
         chosen = rng.permutation(np.unique(np.concatenate([worst, extra])))
         weight = np.where(y == 1, min(10.0, (y[worst] == 0).sum() / max(1, (y[worst] == 1).sum())) ** 0.5, 1.0)
         for lo in range(0, len(chosen), 64):
             batch = chosen[lo:lo + 64]
-            idx = np.concatenate([bags[b] for b in batch])
+            idx = np.concatenate([ngrams[x] for b in batch for x in windows[b] if x >= 0])
             at = np.repeat(np.arange(len(batch)), size[batch])
             mean = np.zeros((len(batch), DIM))
             np.add.at(mean, at, emb[idx] / size[batch][at][:, None])
@@ -131,7 +133,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, max_windows: i
     return Model(emb @ layer, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 4000) -> Model:
     """Train on labelled rows outside the held-out fold; each class gets up to half of ``max_rows``."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where(crc_rest(F.col("doc_id"), modulus) != 0).join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id", "text"))
