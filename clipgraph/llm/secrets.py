@@ -93,18 +93,19 @@ def threshold(cands: DataFrame, level: float) -> float:
     return best
 
 
-def scan(docs: DataFrame, level: float = 0.001) -> DataFrame:
-    """Add ``base`` and ``all_spans``: arrays of (start, rank, end, kind) ordered by start, then kind."""
+def scan(docs: DataFrame, level: float = 0.001, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (all when None) with ``base`` and ``all_spans``: arrays of (start, rank, end, kind) ordered by start, then kind."""
     base = F.array_sort(F.concat(*[places(k, p, g, least, i) for i, (k, p, g, least) in enumerate(KINDS)]))
-    d = docs.withColumn("_t", text_of()).withColumn("_base", base)
+    d = docs.withColumn("_t", text_of(text)).withColumn("_base", base)
     free = F.filter(places("random", TOKEN, 0, 20, 3), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     d = d.withColumn("_tokens", free).withColumn("_tested", F.size("_tokens"))
     d = d.withColumn("_random", F.filter(F.transform("_tokens", battery), lambda x: x.isNotNull()))
-    d = cut(d.drop("_t", "_tokens"))
-    limit = threshold(d, level)
     plain = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
+    # only what the caller keeps is written, and the spans without their matches
+    d = cut(d.select(*(docs.columns if keep is None else keep), F.transform("_base", plain).alias("_base"), "_random", "_tested"))
+    limit = threshold(d, level)
     found = F.filter("_random", lambda s: s["strength"] >= F.lit(limit))
-    return (d.withColumn("base", F.transform("_base", plain))
+    return (d.withColumn("base", F.col("_base"))
             .withColumn("all_spans", F.array_sort(F.concat(F.col("base"), F.transform(found, plain)))).drop("_base", "_random", "_tested"))
 
 
@@ -119,12 +120,12 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     def step(s, x):
         apart = x["start"] >= s["at"]
-        gap = F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])
+        gap = F.substring(F.col("_row.text"), s["at"] + 1, x["start"] - s["at"])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, F.concat(s["out"], gap, F.lit(mask))).otherwise(s["out"]).alias("out"))
 
-    done = F.aggregate("all_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    done = F.aggregate("all_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("_row.text"), s["at"] + 1, F.length("_row.text"))))
     # the row travels as one struct, so no column of the input can clash with the scan's own
-    rows = scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
-    clean = F.when(F.size("all_spans") > 0, done).otherwise(F.col("text"))
+    rows = scan(docs.select(F.struct(*docs.columns).alias("_row")), text="_row.text")
+    clean = F.when(F.size("all_spans") > 0, done).otherwise(F.col("_row.text"))
     new = {"text": clean, "n_chars": F.when(F.size("all_spans") > 0, F.length(clean)).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": clean}
     return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

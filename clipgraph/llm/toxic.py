@@ -4,6 +4,7 @@ A text is cut into windows of words; a window is the average of the embeddings o
 (hashed), followed by a softmax layer. A text is as toxic as its worst window, so long texts do not dilute a remark. Embeddings
 and layer are trained jointly in numpy on the driver, on at most ``max_rows`` labelled rows (those with the smallest hashes
 of their ids; all toxic and clean rows where there are fewer) and at most ``max_windows`` windows of a training text (spread evenly).
+Executors cut the windows, so the driver sees at most ``max_rows`` times ``max_windows`` of them and never a text.
 
 Scoring maps over all whole texts with one scalar per n-gram, since averages and the layer are linear. Null and empty
 texts score as the window without words. Without both classes in the sample every text scores 0. Repeated rows are scored each.
@@ -37,6 +38,16 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(LOWER_TABLE))
 
 
+def windows_of(text: str | None, max_windows: int) -> list[str]:
+    """Up to ``max_windows`` blank-joined windows spread over the whole text; very long words as in ``grams``."""
+    ws = words_of(text)
+    starts = range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2)
+    if len(starts) > max_windows:
+        starts = [starts[k] for k in np.linspace(0, len(starts) - 1, max_windows).astype(int)]
+    cut = (ws[lo:lo + WINDOW] for lo in starts)
+    return [" ".join(w if len(w) <= 64 else f"{w[:32]}~{w[-32:]}" for w in c) for c in cut if c]
+
+
 class Model:
     """Subword scalars and bias of the log-odds."""
 
@@ -67,29 +78,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip((span[:, 0] / span[:, 1] + self.bias).max(), -50, 50))))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 12, max_windows: int = 64, seed: int = 7) -> Model:
-    """Joint training by Adagrad; after a first round on all windows, the worst window of a text stands for it."""
+def train(samples: list[list[str]], labels: np.ndarray, rounds: int = 12, seed: int = 7) -> Model:
+    """Joint training by Adagrad on the windows of each sample text; the worst window of a text and as many clean ones stand for all."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -np.inf)
     rng = np.random.default_rng(seed)
     # windows hold word numbers and a word its n-grams once, so memory grows with the windows and not with their n-grams
     number, ngrams, rows, owner = {}, [], [], []
     seen = np.zeros((2, BUCKETS))
-    for i, t in enumerate(texts):
-        ws = words_of(t)
-        starts = range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2)
-        if len(starts) > max_windows:
-            starts = [starts[k] for k in np.linspace(0, len(starts) - 1, max_windows).astype(int)]
+    for i, sample in enumerate(samples):
         mine = set()
-        for lo in starts:
-            ids = [number.setdefault(w, len(number)) for w in ws[lo:lo + WINDOW]]
-            if ids:
-                for w in ws[lo:lo + WINDOW]:
-                    if number[w] == len(ngrams):
-                        ngrams.append(np.array(grams(w), dtype=np.int32))
-                rows.append(ids + [-1] * (WINDOW - len(ids)))
-                owner.append(i)
-                mine.update(ids)
+        for window in sample:
+            ids = []
+            for w in window.split(" "):
+                ids.append(number.setdefault(w, len(number)))
+                if ids[-1] == len(ngrams):
+                    ngrams.append(np.array(grams(w), dtype=np.int32))
+            rows.append(ids + [-1] * (WINDOW - len(ids)))
+            owner.append(i)
+            mine.update(ids)
         if mine:
             seen[int(labels[i]), np.unique(np.concatenate([ngrams[x] for x in mine]))] += 1
     if not rows:
@@ -133,16 +140,21 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, max_windows: i
     return Model(emb @ layer, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 4000, max_windows: int = 64) -> Model:
     """Train on labelled rows outside the held-out fold; each class gets up to half of ``max_rows``."""
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([windows_of(t, max_windows) for t in texts], dtype=object)
+
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(crc_rest(F.col("doc_id"), modulus) != 0).join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id", "text"))
-    texts, ys = [], []
+    rows = (docs.select("doc_id", "text").where(crc_rest(F.col("doc_id"), modulus) != 0).join(known, "doc_id")
+            .select("toxic", F.xxhash64("doc_id", "text").alias("_h"), cut("text").alias("windows")))
+    samples, ys = [], []
     for y in (0, 1):
-        for r in rows.where(F.col("toxic") == y).orderBy("_h").limit(max_rows // 2).select("text").toLocalIterator():
-            texts.append(r["text"] or "")
+        for r in rows.where(F.col("toxic") == y).orderBy("_h").limit(max_rows // 2).select("windows").toLocalIterator():
+            samples.append(r["windows"])
             ys.append(y)
-    return train(texts, np.array(ys))
+    return train(samples, np.array(ys))
 
 
 def scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
