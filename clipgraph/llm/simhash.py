@@ -59,21 +59,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp LONG")
 
 
-def near(points: np.ndarray, radius: int, leaf: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``radius`` by a vantage-point tree: each split keeps near, far and the boundary between them."""
-    def against(a, b):
-        step = max(1, (1 << 22) // max(1, len(b)))
-        for lo in range(0, len(a), step):
-            i, j = np.nonzero(np.bitwise_count(points[a[lo:lo + step], None] ^ points[None, b]) <= radius)
-            yield a[lo:lo + step][i], b[j]
+def forest(points: np.ndarray, radius: int, leaf: int = 64) -> np.ndarray:
+    """Index of the smallest point of each point's component within the shard, by a vantage-point tree.
+
+    Each split keeps near, far and the boundary between them. A node whose points are all in one component already is
+    left out, so a dense cluster costs its merges and not its pairs.
+    """
+    root = np.arange(len(points))
+
+    def merge(a: np.ndarray, b: np.ndarray) -> None:
+        i, j = np.nonzero(np.bitwise_count(points[a][:, None] ^ points[b][None, :]) <= radius)
+        x, y = a[i], b[j]
+        apart = root[x] != root[y]
+        for u, v in zip(x[apart].tolist(), y[apart].tolist()):
+            lo, hi = sorted((root[u], root[v]))
+            if lo != hi:
+                root[root == hi] = lo
 
     stack = [(np.arange(len(points)), None)]
     while stack:
         a, b = stack.pop()
         other = a if b is None else b
+        if not len(a) or not len(other) or (root[a] == root[other[0]]).all() and (root[other] == root[a[0]]).all():
+            continue
         if min(len(a), len(other)) <= leaf:
-            if len(a) and len(other):
-                yield from against(a, other)
+            for lo in range(0, len(a), 4 * leaf):
+                for at in range(0, len(other), 4 * leaf):
+                    merge(a[lo:lo + 4 * leaf], other[at:at + 4 * leaf])
             continue
         d = np.bitwise_count(points[a] ^ points[a[0]]).astype(int)
         e = d if b is None else np.bitwise_count(points[b] ^ points[a[0]]).astype(int)
@@ -82,29 +94,13 @@ def near(points: np.ndarray, radius: int, leaf: int = 64) -> Iterator[tuple[np.n
             cutoff -= 1
         near_a, far_a, near_b, far_b = a[d <= cutoff], a[d > cutoff], other[e <= cutoff], other[e > cutoff]
         edge_a, edge_b = a[(d <= cutoff) & (d > cutoff - radius)], other[(e > cutoff) & (e <= cutoff + radius)]
+        # the last one in is the next one out: boundaries come after both sides
         if b is None:
-            stack += [(near_a, None), (far_a, None), (edge_a, edge_b)]
+            stack += [(edge_a, edge_b), (far_a, None), (near_a, None)]
         else:
             back_a, back_b = a[(d > cutoff) & (d <= cutoff + radius)], other[(e <= cutoff) & (e > cutoff - radius)]
-            stack += [(near_a, near_b), (far_a, far_b), (edge_a, edge_b), (back_a, back_b)]
-
-
-def forest(points: np.ndarray, radius: int) -> np.ndarray:
-    """Index of the smallest point of each point's component within the shard."""
-    root = np.arange(len(points))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in near(points, radius):
-        for x, y in zip(i[i != j].tolist(), j[i != j].tolist()):
-            a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([find(x) for x in range(len(points))], dtype=np.int64)
+            stack += [(back_a, back_b), (edge_a, edge_b), (far_a, far_b), (near_a, near_b)]
+    return root
 
 
 def shards(points: DataFrame, n: int, radius: int, leaf: int) -> DataFrame:
@@ -123,17 +119,26 @@ def shards(points: DataFrame, n: int, radius: int, leaf: int) -> DataFrame:
     return d.select("space", "part", F.explode(rings).alias("ring"), "fp")
 
 
-def links(points: DataFrame, radius: int = 4, leaf: int = 4096) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, leaf: int = 4096, batch: int = 20_000) -> DataFrame:
     """Links (a < b) between distinct fingerprints that span all components within ``radius`` bits."""
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(f["fp"].to_numpy(dtype=np.int64))
-        root = forest(p.view(np.uint64), radius)
-        some = root != np.arange(len(p))
-        return pd.DataFrame({"a": p[root[some]], "b": p[some]})
+        f = f.sort_values(["space", "part", "ring", "fp"], ignore_index=True)
+        keys, p = f[["space", "part", "ring"]].to_numpy(), f["fp"].to_numpy(dtype=np.int64)
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        for lo, hi in zip(starts, np.append(starts[1:], len(p))):
+            if hi - lo > 1:
+                one = p[lo:hi]
+                root = forest(one.view(np.uint64), radius)
+                some = root != np.arange(len(one))
+                out.append(np.column_stack([one[root[some]], one[some]]))
+        return pd.DataFrame(np.vstack(out), columns=["a", "b"])
 
     points = cut(points.select("fp").distinct())
     n = points.count()
-    return shards(points, n, radius, leaf).groupBy("space", "part", "ring").applyInPandas(run, "a LONG, b LONG").distinct()
+    # a task group takes many whole shards, about ``batch`` rows of them
+    bucket = F.pmod(F.xxhash64("space", "part", "ring"), F.lit(max(8, 8 * n // batch)))
+    return shards(points, n, radius, leaf).groupBy(bucket.alias("bucket")).applyInPandas(run, "a LONG, b LONG").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        large = both.join(least(both), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         small = down.join(least(down), "u")
         edges = cut(small.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct())
