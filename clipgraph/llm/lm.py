@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipgraph.llm.common import SPACED, crc_rest, lowered, text_of
-from clipgraph.session import cut
+from clipgraph.session import cut, small_side
 
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0, 0.75, 1.0
@@ -68,55 +68,70 @@ def seating(strength: float, discount: float):
     return run
 
 
-def tokens(docs: DataFrame, modulus: int) -> DataFrame:
-    """One row per token: doc_id, row key, held_out, context u and token w as hashes."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """One row per token: doc_id, row key, context u and token w as hashes."""
     d = docs.select("doc_id", text_of().alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("row"), (crc_rest(F.col("doc_id"), modulus) == 0).alias("held_out"),
+        "doc_id", F.xxhash64("_t").alias("row"),
         F.transform(F.regexp_extract_all(lowered(F.col("_t")), F.lit(SPACED), F.lit(0)), lambda w: F.xxhash64(w)).alias("h"))
-    seq = d.withColumn("h", F.concat(F.array(F.lit(START).cast("long")), "h", F.array(F.lit(END).cast("long"))))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("h") - 1), lambda i: F.struct(F.get("h", i - 1).alias("u"), F.get("h", i).alias("w")))
-    return seq.select("doc_id", "row", "held_out", F.explode(pairs).alias("p")).select("doc_id", "row", "held_out", "p.*")
+    left = F.concat(F.array(F.lit(START).cast("long")), "h")
+    right = F.concat("h", F.array(F.lit(END).cast("long")))
+    return d.select("doc_id", "row", F.explode(F.arrays_zip(left.alias("u"), right.alias("w"))).alias("p")).select("doc_id", "row", "p.u", "p.w")
 
 
-def score(docs: DataFrame, modulus: int = 10, burn_in: int = 1, samples: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row, and perplexity."""
-    toks = tokens(docs, modulus)
-    pairs = cut(toks.groupBy("u", "w").agg(F.count_if(~F.col("held_out")).cast("double").alias("c")))
+def score(docs: DataFrame, modulus: int = 10, burn_in: int = 1, samples: int = 2, limit: int = 32 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row, and perplexity.
+
+    Per-word and per-context tables are broadcast while they measure at most ``limit`` bytes and shuffled beyond. A token
+    travels as its row key and one hash of its pair, and only once; its values come back summed per row and task.
+    """
+    held_out = crc_rest(F.col("doc_id"), modulus) == 0
+    toks = tokens(docs)
+    pairs = cut(toks.groupBy("u", "w").agg(F.count_if(~held_out).cast("double").alias("c")))
     words = cut(pairs.groupBy("w").agg(F.sum("c").alias("count"), F.count_if(F.col("c") == 1).cast("double").alias("once")))
-    contexts = pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count_if(F.col("c") == 1).cast("double").alias("once"))
-    contexts = cut(contexts)
+    contexts = cut(pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count_if(F.col("c") == 1).cast("double").alias("once")))
     n, v = words.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0.0)), F.count("*")).head()
     base = 1.0 / (v + 1)
-    many = cut(pairs.where("c > 1").withColumn("t", F.lit(1.0)))
-    root_tables, kept = float(v), []
+    # seatings of the pairs with two or more customers; the kept sweeps stay on the row as t0, t1, ...
+    many, root_tables = cut(pairs.where("c > 1").withColumn("t", F.lit(1.0))), float(v)
     root_seating, context_seating = seating(ROOT_STRENGTH, ROOT_DISCOUNT), seating(STRENGTH, DISCOUNT)
+    per_word, per_context = words.select("w", "count"), contexts.select("u", "cu")
     for sweep in range(burn_in + samples):
         w = words.join(many.groupBy("w").agg(F.sum("t").alias("more")), "w", "left").select("w", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("cw"))
-        w = w.withColumn("tw", root_seating("cw", F.greatest(F.lit(root_tables) - 1, F.lit(0.0)), F.lit(base), F.xxhash64("w", F.lit(sweep))))
-        w = cut(w)
+        w = cut(w.withColumn("tw", root_seating("cw", F.greatest(F.lit(root_tables) - 1, F.lit(0.0)), F.lit(base), F.xxhash64("w", F.lit(sweep)))))
         customers, root_tables = w.agg(F.coalesce(F.sum("cw"), F.lit(0.0)), F.coalesce(F.sum("tw"), F.lit(0.0))).head()
         w = w.select("w", ((F.col("cw") - ROOT_DISCOUNT * F.col("tw") + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) * base)
                            / (ROOT_STRENGTH + customers)).alias("pw"))
         u = cut(contexts.join(many.groupBy("u").agg(F.sum("t").alias("more")), "u", "left").select("u", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("tu")))
         if sweep >= burn_in:
-            kept.append((w, u, many))
+            i = sweep - burn_in
+            per_word, per_context = per_word.join(w.withColumnRenamed("pw", f"pw{i}"), "w"), per_context.join(u.withColumnRenamed("tu", f"tu{i}"), "u")
+            many = many.withColumn(f"t{i}", F.col("t"))
         if sweep < burn_in + samples - 1:
             new = context_seating("c", F.greatest(F.col("tu") - F.col("t"), F.lit(0.0)), "pw", F.xxhash64("u", "w", F.lit(sweep)))
-            many = cut(many.join(w, "w").join(u, "u").select("u", "w", "c", new.alias("t")))
-    table = pairs.join(words.select("w", "count"), "w").join(contexts.select("u", "cu"), "u")
-    probability = F.lit(0.0)
-    for i, (w, u, m) in enumerate(kept):
-        table = (table.join(w.withColumnRenamed("pw", f"pw{i}"), "w").join(u.withColumnRenamed("tu", f"tu{i}"), "u")
-                 .join(m.select("u", "w", F.col("t").alias(f"t{i}")), ["u", "w"], "left"))
-        own = F.coalesce(f"t{i}", F.least("c", F.lit(1.0)))
-        probability = probability + (F.col("c") - DISCOUNT * own + (STRENGTH + DISCOUNT * F.col(f"tu{i}")) * F.col(f"pw{i}")) / (STRENGTH + F.col("cu"))
-    empty = F.when(F.col("cu") > 0, probability / len(kept)).otherwise(sum((F.col(f"pw{i}") for i in range(len(kept))), F.lit(0.0)) / len(kept))
-    table = table.select("u", "w", F.log10(empty).alias("lp"), F.log10((F.col("count") + 0.1) / F.lit(n + 0.1 * (v + 1))).alias("lb"), (F.col("count") > 0).alias("known"))
-    summed = toks.join(table, ["u", "w"]).groupBy("doc_id", "row", "held_out").agg(
-        F.count_if(F.col("w") == END).alias("times"), F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum("lb").alias("base_score"), F.sum("lp").alias("score"))
+            past = [c for c in many.columns if c not in ("u", "w", "c", "t")]
+            many = cut(many.join(small_side(w, limit), "w").join(small_side(u, limit), "u").select("u", "w", "c", *past, new.alias("t")))
+    own = [f"t{i}" for i in range(samples)]
+    once = pairs.where("c <= 1").select("u", "w", "c", *[F.col("c").alias(t) for t in own])
+    table = many.select("u", "w", "c", *own).unionByName(once).join(small_side(per_word, limit), "w").join(small_side(per_context, limit), "u")
+    seated, unseen = F.lit(0.0), F.lit(0.0)
+    for i, t in enumerate(own):
+        seated = seated + (F.col("c") - DISCOUNT * F.col(t) + (STRENGTH + DISCOUNT * F.col(f"tu{i}")) * F.col(f"pw{i}")) / (STRENGTH + F.col("cu"))
+        unseen = unseen + F.col(f"pw{i}")
+    p = F.when(F.col("cu") > 0, seated).otherwise(unseen) / samples
+    pair = F.xxhash64("u", "w")
+    # one hash is the join key; the pair itself is compared only where two pairs share their hash
+    table = cut(table.select(pair.alias("pair"), "u", "w", F.log10(p).alias("lp"), F.log10((F.col("count") + 0.1) / F.lit(n + 0.1 * (v + 1))).alias("lb"),
+                             (F.col("count") > 0).alias("known"), (F.col("w") == END).alias("end")))
+    shared = table.groupBy("pair").count().where("count > 1").limit(1).count() > 0
+    if shared:
+        joined = toks.join(table.drop("pair"), ["u", "w"])
+    else:
+        joined = toks.select("doc_id", "row", pair.alias("pair")).join(table.drop("u", "w"), "pair")
+    summed = joined.groupBy("doc_id", "row").agg(F.count_if("end").alias("times"), F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"),
+                                                 F.sum("lb").alias("base_score"), F.sum("lp").alias("score"))
     # every row has one end token, so their number tells how often a row is repeated
     out = summed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     each = lambda c: (F.col(c) / F.col("times"))
-    return out.select("doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
+    return out.select("doc_id", held_out.alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
                       F.lit(int(n)).cast("long").alias("train_tokens"), each("base_score").alias("base_score"), each("score").alias("score"),
                       F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
