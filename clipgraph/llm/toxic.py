@@ -30,8 +30,13 @@ CACHE = 200_000
 def grams(word: str) -> tuple[int, ...]:
     """Buckets of a word and its character n-grams of three to five; very long words by their first and last 32 characters."""
     w = f"<{word}>" if len(word) <= 64 else f"<{word[:32]}~{word[-32:]}>"
-    parts = {w, *(w[i:i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
-    return tuple(sorted({zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts}))
+    size = len(w)
+    if w.isascii():
+        b = w.encode()
+        parts = [b, *[b[i:i + n] for n in (3, 4, 5) for i in range(size - n + 1)]]
+    else:
+        parts = [p.encode("utf-8", "surrogatepass") for p in (w, *[w[i:i + n] for n in (3, 4, 5) for i in range(size - n + 1)])]
+    return tuple(sorted({zlib.crc32(p) % BUCKETS for p in parts}))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,20 +53,26 @@ def windows_of(text: str | None, max_windows: int) -> list[str]:
     return [" ".join(w if len(w) <= 64 else f"{w[:32]}~{w[-32:]}" for w in c) for c in cut if c]
 
 
+class Known(dict):
+    """Of each word seen so far, the sum of its subword scalars and, as imaginary part, their number."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> complex:
+        if len(self) > CACHE:
+            self.clear()
+        g = grams(word)
+        out = self[word] = complex(self.weights[list(g)].sum(), len(g))
+        return out
+
+
 class Model:
     """Subword scalars and bias of the log-odds."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def word(self, w: str) -> tuple[float, int]:
-        found = self.known.get(w)
-        if found is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            g = grams(w)
-            found = self.known[w] = (float(self.weights[list(g)].sum()), len(g))
-        return found
+        self.weights, self.bias, self.known = weights, bias, Known(weights)
 
     def score(self, text: str | None) -> float:
         if not np.isfinite(self.bias):
@@ -69,13 +80,12 @@ class Model:
         words = words_of(text)
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
-        sums = np.array([self.word(w) for w in words])
-        total = np.vstack([[0, 0], np.cumsum(sums, axis=0)])
+        total = np.append(0, np.cumsum(np.fromiter(map(self.known.__getitem__, words), dtype=complex, count=len(words))))
         step = WINDOW // 2
         lo = np.arange(0, max(1, len(words) - step), step)
         hi = np.minimum(lo + WINDOW, len(words))
         span = total[hi] - total[lo]
-        return float(1 / (1 + np.exp(-np.clip((span[:, 0] / span[:, 1] + self.bias).max(), -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip((span.real / span.imag + self.bias).max(), -50, 50))))
 
 
 def train(samples: list[list[str]], labels: np.ndarray, rounds: int = 12, seed: int = 7) -> Model:
