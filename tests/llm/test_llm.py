@@ -280,3 +280,21 @@ def test_toxicity(spark, empty):
     assert got[901] > 0.5 and got[900] < 0.5 and got[None] < 0.5
     assert toxic.drop_toxic(docs, labels).columns == docs.columns
     assert toxic.scores(empty, toxic.fit(empty, labels)).count() == 0
+
+
+def test_forest_of_dense_clusters():
+    """Components inside a shard against all pairs, on clusters of several widths and strays."""
+    rng = np.random.default_rng(1)
+    points = set(rng.integers(0, 1 << 63, 150, dtype=np.uint64).tolist())
+    for width in (2, 4, 7, 9):
+        centre = int(rng.integers(0, 1 << 63))
+        for _ in range(150):
+            flips = rng.choice(64, rng.integers(0, width + 1), replace=False)
+            points.add(centre ^ sum(1 << int(b) for b in flips))
+    p = np.array(sorted(points), dtype=np.uint64)
+    root = np.arange(len(p))
+    for i in range(len(p)):
+        for j in np.nonzero(np.bitwise_count(p[i] ^ p[:i]) <= 4)[0]:
+            lo, hi = sorted((root[i], root[j]))
+            root[root == hi] = lo
+    assert (simhash.forest(p, 4) == root).all()
