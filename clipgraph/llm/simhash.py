@@ -18,16 +18,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgraph.llm.common import LOWER_TABLE
+from clipgraph.llm.common import LOWER_TABLE, text_of
 from clipgraph.session import cut
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,15 +47,18 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint ``fp`` (the 64 bits as a signed LONG)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fp_of(name: str = "text") -> Column:
+    """The 64 bits of the fingerprint as a signed LONG."""
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return run(F.col(name))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": np.array([fingerprint(t) for t in f["text"]], dtype=np.uint64).view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp LONG")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint ``fp``."""
+    return docs.select("doc_id", fp_of().alias("fp"))
 
 
 def forest(points: np.ndarray, radius: int, leaf: int = 64) -> np.ndarray:
@@ -171,8 +173,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One row of every ``root`` in ``keyed`` (doc_id, text_key, root): the smallest id (null ids last), then the smallest text key; of repeated rows one."""
+    stay = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("_key")).select("_key")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_text"))
+    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_key.doc_id")) & (F.col("_text") == F.col("_key.text_key")), "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select("_row.*")
+
+
+def text_key() -> Column:
+    return F.sha2(text_of(), 256)
+
+
 def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """One document of every component: the one with the smallest id (of repeated rows with that id, one; without an id, one)."""
-    stay = near_duplicates(docs.select("doc_id", "text"), radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), "fingerprint").distinct()
-    kept = docs.select(F.struct(*docs.columns).alias("_row")).join(stay, F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of every component of fingerprints, chosen by id and text; null ids come last and are rows like any other."""
+    keyed = cut(docs.select("doc_id", text_key().alias("text_key"), fp_of().alias("fp")))
+    roots = components(links(keyed, radius))
+    return first_rows(docs, keyed.join(roots, "fp", "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("root")))

@@ -298,3 +298,14 @@ def test_forest_of_dense_clusters():
             lo, hi = sorted((root[i], root[j]))
             root[root == hi] = lo
     assert (simhash.forest(p, 4) == root).all()
+
+
+def test_keep_first_loses_no_group(spark):
+    """Null ids with different texts, and an id with two texts of which one is a copy of another id's, all keep their groups."""
+    words = np.random.default_rng(8).permutation([f"w{i}" for i in range(400)]).reshape(8, 50)
+    a, b, c, d, e = (" ".join(w) for w in words[:5])
+    listed = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, d), (3, e), (3, e), (None, e)]
+    frame = spark.createDataFrame(listed, "doc_id LONG, text STRING")
+    for _ in range(2):
+        assert rows(simhash.keep_first(frame), "doc_id", "text") == sorted([(None, a), (None, b), (1, c), (2, d), (3, e)], key=str)
+        frame = frame.repartition(5, "text")
