@@ -309,3 +309,42 @@ def test_keep_first_loses_no_group(spark):
     for _ in range(2):
         assert rows(simhash.keep_first(frame), "doc_id", "text") == sorted([(None, a), (None, b), (1, c), (2, d), (3, e)], key=str)
         frame = frame.repartition(5, "text")
+
+
+def test_pipeline_drops_similar_texts_only(spark, tmp_path):
+    """The near-duplicate stage within run() against all pairs of five-word shingle sets."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("bcdfghklmnprst"), 6)) for _ in range(900)]
+    listed = []
+    for i in range(30):
+        w = rng.choice(vocabulary, int(rng.integers(4, 160))).tolist()
+        listed.append((len(listed), " ".join(w)))
+        for _ in range(int(rng.integers(0, 5))):
+            v = list(w)
+            for at in rng.choice(len(v), int(rng.integers(0, 1 + len(v) // 20)), replace=False):
+                v[at] = str(rng.choice(vocabulary))
+            listed.append((len(listed), " ".join(v)))
+    copy = rng.choice(vocabulary, 120).tolist()
+    for i in range(80):  # one large group of near copies, and texts that share one long line
+        listed.append((len(listed), " ".join([*copy[:i], "changed", *copy[i + 1:]])))
+        listed.append((len(listed), " ".join([*copy[:30], *rng.choice(vocabulary, 90).tolist()])))
+    listed += [(9000, None), (9001, ""), (None, listed[0][1]), (None, "an other text that is a copy of nothing")]
+
+    def shingles(t):
+        w = SPACED.findall(low(t))
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingles(t) for _, t in listed], list(range(len(listed)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    want = sorted({min((d is None, d or 0) for (d, _), r in zip(listed, root) if r == c) for c in set(root)})
+    spark.createDataFrame(listed, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id STRING, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == want
