@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and a randomness test battery. Built-in functions only.
 
 Three patterns (assigned values, access keys, long hex) give base spans. The battery looks at other long tokens: the
-encoding is inferred from the alphabet (hex, base32, alphanumeric, base64); chi-squared uniformity over that alphabet and the serial
+encoding is the narrowest alphabet that holds the token (hex, base32 and base36 in either case, alphanumeric, base64), without dashes and padding; chi-squared uniformity over that alphabet and the serial
 correlation of neighbouring symbols must not contradict a random string; the runs test gives a p-value under the
 hypothesis of an ordinary word, where letter case and digits seldom alternate. Long tokens carry a larger weight, and a
 false-discovery threshold over the whole corpus decides. The threshold needs only a histogram of p-values (a bounded number of bins).
@@ -46,17 +46,26 @@ def places(kind: str, pattern: str, group: int, least: int, rank: int) -> Column
     return F.when(some, F.aggregate(parts, empty, step, lambda s: s["out"])).otherwise(empty["out"])
 
 
-def symbols(encoding: Column) -> Column:
-    return (F.when(encoding == "hex", 16).when(encoding == "base32", 32).when(encoding == "alnum", 62).otherwise(64)).cast("double")
+#: Alphabets from narrow to wide: name, pattern of the whole token, number of symbols. Separators and padding are no symbols.
+ENCODINGS = (("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", 16), ("base32", "^(?:[A-Z2-7]+|[a-z2-7]+)$", 32), ("base36", "^(?:[0-9A-Z]+|[0-9a-z]+)$", 36), ("alnum", "^[0-9A-Za-z]+$", 62))
+
+
+def symbols(body: Column) -> Column:
+    """Size of the narrowest alphabet that holds the whole body."""
+    out = F.lit(64.0)
+    for _, pattern, k in reversed(ENCODINGS):
+        out = F.when(body.rlike(pattern), float(k)).otherwise(out)
+    return out
 
 
 def battery(span: Column) -> Column:
     """(start, rank, end, kind, weighted -log10 p) of a token; null when a test contradicts randomness."""
-    token = span["match"]
+    bare = F.regexp_replace(span["match"], "=+$", "")
+    dashed = F.regexp_replace(bare, "[-_]", "")
+    # separators between runs of hex, base32 or base36 symbols are not part of the string; elsewhere they are symbols of base64
+    token = F.when(dashed.rlike("^(?:[0-9A-Z]+|[0-9a-z]+)$"), dashed).otherwise(bare)
     n = F.length(token).cast("double")
-    encoding = (F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32")
-                .when(token.rlike("^[0-9A-Za-z]+$"), "alnum").otherwise("base64"))
-    k = symbols(encoding)
+    k = symbols(token)
     chars = F.split(token, "")
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
     chi2 = k / n * F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) - n

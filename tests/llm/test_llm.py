@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clipgraph.llm import decon, html, licenses, lm, packing, quality, queries, secrets, simhash, toxic, urls
 
@@ -348,3 +349,37 @@ def test_pipeline_drops_similar_texts_only(spark, tmp_path):
     spark.createDataFrame([], "item_id STRING, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == want
+
+
+def test_random_tokens_of_every_encoding_pass(spark):
+    """Tokens of 20 to 256 random symbols of each encoding reach the false-discovery step; dashes and padding do not count."""
+    rng = np.random.default_rng(4)
+    digits, low_, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"base36": digits + low_, "BASE36": digits + up, "base32": low_ + "234567", "BASE32": up + "234567", "base62": digits + low_ + up, "base64": digits + low_ + up + "+/"}
+    listed = [(k, n, "".join(rng.choice(list(a), n))) for n in (20, 40, 64, 96, 128, 256) for k, a in alphabets.items() for _ in range(50)]
+    for n in (32, 64, 128, 256):
+        listed += [("dashed", n, re.sub("(.{8})(?=.)", r"\1-", "".join(rng.choice(list("0123456789abcdef"), n)))) for _ in range(50)]
+    frame = spark.createDataFrame(listed, "kind STRING, n INT, t STRING")
+    span = F.struct(F.lit(0).alias("start"), F.length("t").alias("end"), F.col("t").alias("match"))
+    got = frame.withColumn("b", secrets.battery(span)).groupBy("kind", "n").agg((F.count("b.strength") / F.count("*")).alias("share")).collect()
+    assert not [r for r in got if r["share"] < (0.8 if r["n"] < 64 else 0.94)]
+    long_ = "".join(rng.choice(list(alphabets["base36"]), 256))
+    assert secrets.scan(spark.createDataFrame([(1, f"key {long_} end")], "doc_id LONG, text STRING")).select(secrets.listing("all_spans")).head()[0] == "random:4:260"
+    assert secrets.scan(spark.createDataFrame([(1, "a-long-page-name-of-many-words-in-lower-case")], "doc_id LONG, text STRING")).select(secrets.listing("all_spans")).head()[0] == ""
+
+
+def test_licenses_with_one_edited_word_anywhere(spark):
+    """An inserted, a left-out and a changed word at every place of every template, with words that repeat parts of it around."""
+    listed, labels = [], []
+    for text, label in licenses.TEMPLATES:
+        w = text.split()
+        if len(w) < 15:
+            continue
+        for at in range(1, len(w)):
+            for body in ([*w[:at], "inserted", *w[at:]], [*w[:at], *w[at + 1:]], [*w[:at], "changed", *w[at + 1:]]):
+                listed.append((len(listed), " ".join(["the software the license free software", *body, "this license and the software"])))
+                labels.append(label)
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(listed, "doc_id LONG, text STRING")).select("doc_id", "labels", F.size("spans").alias("n")).collect()}
+    assert [(i, x) for i, x in enumerate(labels) if x not in got[i]["labels"].split(",")] == []
+    twice = " ".join([licenses.TEMPLATES[0][0]] * 2)
+    assert len(licenses.scan(spark.createDataFrame([(1, twice)], "doc_id LONG, text STRING")).head()["spans"]) == 2
