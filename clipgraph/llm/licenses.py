@@ -2,8 +2,8 @@
 
 Rolling hashes of two words from every text are joined to the positions of the same hash in the license templates
 (a fixed list, broadcast). A hit votes for the diagonal (text position minus template position); votes are counted per
-row, template and diagonal. Neighbouring diagonals whose places touch are merged, since an inserted or left-out word
-shifts the rest, and a merged span is verified by the share of the template it covers. The join compares the words
+row, template and diagonal. Neighbouring diagonals whose places touch are chained, since an inserted or left-out word
+shifts the rest, and the span of a chain is verified by the share of the template it covers. The join compares the words
 themselves besides the hash, so a collision cannot vote.
 
 Short phrases are templates that must be covered whole on one diagonal. A null or empty text has no words, no labels and
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipgraph.llm.common import ALNUM, lowered, same_key, text_of
@@ -37,6 +37,31 @@ TEMPLATES = (
 KEY = ["doc_id", "_text_key"]
 
 
+def chains(parts: Column, length: Column, shift: int, gap: int, cover: float) -> Column:
+    """Array of (n, lo, hi, diag, seen): chains of touching, neighbouring diagonals that cover enough of the template, none overlapping a better one.
+
+    Every diagonal extends the chain that gives it the widest cover, whatever lies between them in the order, or starts one.
+    """
+    kind = "struct<n:int,lo:int,hi:int,diag:int,seen:array<int>>"
+
+    def joined(c, x):
+        seen = F.array_union(c["seen"], x["seen"])
+        return F.struct(F.size(seen).alias("n"), F.least(c["lo"], x["lo"]).alias("lo"), F.greatest(c["hi"], x["hi"]).alias("hi"), x["diag"].alias("diag"), seen.alias("seen"))
+
+    def step(s, x):
+        live = F.filter(s["live"], lambda c: c["hi"] + gap >= x["lo"])
+        fits = F.filter(live, lambda c: (F.abs(c["diag"] - x["diag"]) <= shift) & (F.greatest(c["hi"], x["hi"]) - F.least(c["lo"], x["lo"]) <= 2 * length))
+        best = F.coalesce(F.array_max(F.transform(fits, lambda c: joined(c, x))), joined(x, x))
+        # the array of one item holds the chain, which would be computed anew at each mention otherwise
+        return F.transform(F.array(best), lambda b: F.struct(F.concat(live, F.array(b)).alias("live"), F.when(b["n"] >= cover * (length - 1), F.concat(s["done"], F.array(b)))
+                                                             .otherwise(s["done"]).alias("done")))[0]
+
+    start = F.expr(f"named_struct('live', cast(array() AS array<{kind}>), 'done', cast(array() AS array<{kind}>))")
+    done = F.reverse(F.array_sort(F.aggregate(parts, start, step, lambda s: s["done"])))
+    apart = lambda kept, c: ~F.exists(kept, lambda k: (k["lo"] < c["hi"]) & (c["lo"] < k["hi"]))
+    return F.aggregate(done, F.expr(f"cast(array() AS array<{kind}>)"), lambda kept, c: F.when(apart(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, shift: int = 3, gap: int = 8, cover: float = 0.6) -> DataFrame:
     """Per row: words, places and labels of phrases, all labels with verified templates, score and spans (word positions)."""
     spark = docs.sparkSession
@@ -55,16 +80,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, shift: int = 3,
                  .agg(F.sort_array(F.collect_set("tpos")).alias("seen")))
     exact = (diagonals.where("kind = 'phrase' AND size(seen) = len - 1")
              .select(*KEY, "label", "kind", F.col("diag").alias("start"), (F.col("diag") + F.col("len")).alias("end"), F.lit(1.0).alias("share")))
-    near = Window.partitionBy(*KEY, "t")
-    placed = diagonals.where("kind = 'text'").withColumns({"lo": F.col("diag") + F.col("seen")[0], "hi": F.col("diag") + F.element_at("seen", -1) + 2})
-    order = near.orderBy("lo", "hi", "diag")
-    merged = (placed.withColumns({"_reach": F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_last": F.lag("diag").over(order)})
-              .withColumn("_new", F.expr(f"CASE WHEN _reach IS NULL OR lo > _reach + {gap} OR abs(diag - _last) > {shift} THEN 1 ELSE 0 END"))
-              .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy(*KEY, "t", "label", "len", "kind", "_run")
-              .agg(F.min("lo").alias("start"), F.max("hi").alias("end"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
-              .withColumn("share", F.size("seen") / (F.col("len") - 1)).where((F.col("share") >= cover) & (F.col("end") - F.col("start") <= 2 * F.col("len")))
-              .select(*KEY, "label", "kind", "start", "end", "share"))
+    placed = (diagonals.where("kind = 'text'").groupBy(*KEY, "t", "label", "len", "kind")
+              .agg(F.sort_array(F.collect_list(F.struct((F.col("diag") + F.col("seen")[0]).alias("lo"), (F.col("diag") + F.element_at("seen", -1) + 2).alias("hi"), "diag", "seen"))).alias("parts"))
+              # a chain covers no more than all diagonals together
+              .where(F.size(F.array_distinct(F.flatten("parts.seen"))) >= cover * (F.col("len") - 1)))
+    merged = (placed.select(*KEY, "label", "kind", "len", F.explode(chains(F.col("parts"), F.col("len"), shift, gap, cover)).alias("c"))
+              .select(*KEY, "label", "kind", F.col("c.lo").alias("start"), F.col("c.hi").alias("end"), (F.col("c.n") / (F.col("len") - 1)).alias("share")))
     of_phrase = F.col("kind") == "phrase"
     labelled = exact.unionByName(merged).groupBy(*KEY).agg(
         F.count_if(of_phrase).alias("n_base"), F.min(F.when(of_phrase, F.col("start"))).alias("first_word"), F.max(F.when(of_phrase, F.col("start"))).alias("last_word"),
