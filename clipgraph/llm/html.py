@@ -2,7 +2,7 @@
 
 Every page is parsed into a tree of block containers. A paragraph scores by length and commas, its parent gets the
 points and its grandparent half of them; a container's points are discounted by its link density. The best container
-and those siblings that score close to it, or are prose of their own, are kept. Pages are independent of each other,
+and those siblings that score close to it, or are prose, headings, lists, quotes or tables of their own, are kept. Pages are independent of each other,
 so the work is one map over Arrow batches without a shuffle.
 
 Null or empty html gives the empty text. Repeated rows give repeated results; other columns pass through untouched.
@@ -22,12 +22,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "sub sup time tt u var wbr".split())
 #: Elements whose content is never article text.
 SKIPPED = frozenset("nav header footer aside form script style noscript template iframe object svg math button select textarea input dialog menu "
-                    "head title canvas audio video figcaption".split())
+                    "head title canvas audio video".split())
 #: Words of class, id and role values that mark page furniture, adverts, notices and comments.
 FURNITURE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation "
                       "breadcrumb breadcrumbs header masthead footer foot cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
                       "subscription signup login comment comments disqus respond reply replies share sharing social related recommended widget toolbar "
                       "pagination pager hidden contentinfo complementary search".split())
+#: A name with one of these words speaks of furniture somewhere else, or of a state.
+MODIFIERS = frozenset("has have no not non with without is show hide overflow open opened closed active fixed sticky enabled disabled visible layout".split())
+SIBLINGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure figcaption".split())
+#: Why a block is left out: by its tag, or by its class, id, role or style, which prose may overrule.
+SOFT, HARD = 1, 2
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
                      "section table ul".split())
 SPACE = re.compile(r"[\s\xa0]+")
@@ -37,10 +42,10 @@ NAME_PART = re.compile(r"[a-z]+")
 class Node:
     """An element that is not inline: its text runs and child blocks in page order."""
 
-    __slots__ = ("tag", "parent", "items", "link", "score", "skip")
+    __slots__ = ("tag", "parent", "items", "link", "score", "skip", "own")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False):
-        self.tag, self.parent, self.items, self.link, self.score, self.skip = tag, parent, [], 0, 0.0, skip
+    def __init__(self, tag: str, parent: Node | None, skip: int = 0, own: int = 0):
+        self.tag, self.parent, self.items, self.link, self.score, self.skip, self.own = tag, parent, [], 0, 0.0, skip, own
 
 
 class Tree(HTMLParser):
@@ -62,7 +67,7 @@ class Tree(HTMLParser):
             return
         if tag in VOID:
             return
-        bad = tag in SKIPPED or self.furniture(tag, attrs)
+        bad = HARD if tag in SKIPPED else self.furniture(tag, attrs)
         if tag in INLINE:
             if bad:
                 self.muted.append(tag)
@@ -80,7 +85,7 @@ class Tree(HTMLParser):
             self.close_block("tr", ("table", "tbody", "thead", "tfoot"))
         elif tag in ("dt", "dd"):
             self.close_block("dt", ("dl",)), self.close_block("dd", ("dl",))
-        node = Node(tag, self.at, bad or self.at.skip)
+        node = Node(tag, self.at, max(bad, self.at.skip), bad)
         self.at.items.append(node)
         self.at = node
 
@@ -110,24 +115,32 @@ class Tree(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        if self.muted or self.at.skip:
+        if self.muted or self.at.skip == HARD:
             return
         self.at.items.append(data)
         if self.links:
             self.at.link += len(data)
 
     @staticmethod
-    def furniture(tag: str, attrs) -> bool:
+    def furniture(tag: str, attrs) -> int:
         if tag in ("html", "body", "article", "main"):
-            return False
+            return 0
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and value and not FURNITURE.isdisjoint(NAME_PART.findall(value.lower())):
-                return True
+                return HARD
+            if name in ("class", "id", "role") and value and any(marks(token) for token in value.split()):
+                return SOFT
             if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return HARD
+        return 0
+
+
+def marks(token: str) -> bool:
+    """Whether one class, id or role names page furniture; modifier forms (has-sidebar, no-comments, overflow-hidden, hidden-xs) do not."""
+    words = NAME_PART.findall(token.lower())
+    if not MODIFIERS.isdisjoint(words) or len(words) > 1 and "hidden" in words:
         return False
+    return not FURNITURE.isdisjoint(words)
 
 
 def walk(root: Node) -> list[Node]:
@@ -171,6 +184,47 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def prose(node: Node) -> int:
+    """Characters outside links under a node, without blocks left out for a reason of their own."""
+    total, stack = 0, [node]
+    while stack:
+        at = stack.pop()
+        total += max(0, len(own_text(at)) - at.link)
+        stack.extend(x for x in at.items if not isinstance(x, str) and not x.own)
+    return total
+
+
+def overruled(root: Node) -> Node:
+    """The root to read from: blocks left out by their names come back where they hold more prose than all that is left.
+
+    A page whose article or main has text already stays as it is. An article or main inside such a block is read alone.
+    """
+    inside, soft, stack = [], [], [root]
+    while stack:
+        node = stack.pop()
+        if node.own == SOFT:
+            soft.append(node)
+        if node.tag in ("article", "main"):
+            inside.append(node)
+        stack.extend(x for x in node.items if not isinstance(x, str) and x.skip != HARD)
+    if not soft or any(not x.skip and prose(x) for x in inside):
+        return root
+    sizes = [(prose(x), x.tag in ("article", "main"), x) for x in soft + [x for x in inside if x.skip]]
+    # of blocks with the same prose, an article or main stands for the block around it
+    size, whole, best = max(sizes, key=lambda s: s[:2])
+    if size <= prose(root):
+        return root
+    up = best
+    while up is not None and not whole:
+        up.skip, up = 0, up.parent
+    stack = [best]
+    while stack:
+        node = stack.pop()
+        node.skip = 0
+        stack.extend(x for x in node.items if not isinstance(x, str) and not x.own)
+    return best if whole else root
+
+
 def main_text(page: str | None) -> str:
     """The article text of one page."""
     if not page:
@@ -178,7 +232,8 @@ def main_text(page: str | None) -> str:
     tree = Tree()
     tree.feed(page)
     HTMLParser.close(tree)
-    nodes = walk(tree.root)
+    root = overruled(tree.root)
+    nodes = walk(root)
     length, link = {}, {}
     for node in reversed(nodes):
         own = own_text(node)
@@ -210,7 +265,7 @@ def main_text(page: str | None) -> str:
         for x in best.parent.items:
             if isinstance(x, str) or x.skip:
                 continue
-            prose = x.tag in ("p", "h1", "h2") and length[x] and link[x] / length[x] < 0.25
+            prose = x.tag in SIBLINGS and length[x] and link[x] / length[x] < 0.25
             if x is best or x.score >= limit or prose:
                 kept.append(x)
     return " ".join(t for node in kept for t in blocks(node))

@@ -383,3 +383,39 @@ def test_licenses_with_one_edited_word_anywhere(spark):
     assert [(i, x) for i, x in enumerate(labels) if x not in got[i]["labels"].split(",")] == []
     twice = " ".join([licenses.TEMPLATES[0][0]] * 2)
     assert len(licenses.scan(spark.createDataFrame([(1, twice)], "doc_id LONG, text STRING")).head()["spans"]) == 2
+
+
+def test_html_keeps_whole_articles():
+    """Modifier names, articles inside blocks with furniture names, captions, and the parts of a page without an article."""
+    long_ = "long text, with commas, " * 20
+    for name in ("content has-sidebar", "site-content no-sidebar", "page-with-header", "overflow-hidden", "hidden-xs", "no-comments", "layout-menu"):
+        assert html.main_text(f"<body><div class='{name}'><div><p>{long_}</p></div></div><div class=ad>buy</div></body>") == long_.strip()
+    for name in ("header", "sidebar", "widget", "search"):
+        assert html.main_text(f"<body><div class={name}><article><h1>A</h1><p>{long_}</p><div class=share>share</div></article></div><div>x</div></body>") == f"A {long_.strip()}"
+    assert html.main_text(f"<body><h1>T</h1><div class=widget><p>{long_}</p></div></body>").endswith(long_.strip())
+    assert "say" not in html.main_text(f"<body><article><p>Short.</p></article><div id=comments><article><p>say {long_}</p></article></div></body>")
+    assert html.main_text("<article><p>One.</p><figure><img src=x><figcaption>Caption</figcaption></figure></article>") == "One. Caption"
+    parts = "<h3>H3</h3><ul><li>item</li></ul><ol><li>step</li></ol><blockquote>quote</blockquote><pre>code</pre><table><tr><td>cell</td></tr></table><h6>H6</h6>"
+    got = html.main_text(f"<body><div class=wrap><div><p>{long_}</p></div>{parts}<ul><li><a href=1>link</a></li></ul></div></body>")
+    assert got == f"{long_.strip()} H3 item step quote code cell H6"
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    """One remark in a text of 1,500 words, most windows of which were not kept before; runs are read to their ends."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("aeinorst"), 5)) for _ in range(300)]
+
+    def text(bad):
+        w = rng.choice(vocabulary, 1500).tolist()
+        if bad:
+            w[(at := int(rng.integers(0, 1498))):at + 2] = ["horrible", "dreadful"]
+        return " ".join(w)
+
+    train = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([x[:2] for x in train], "doc_id LONG, text STRING")
+    model = toxic.fit(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id LONG, toxic INT"))
+    assert np.mean([(model.score(t) >= 0.5) == bool(y) for i, t, y in train if zlib.crc32(str(i).encode()) % 5 == 0]) > 0.95
+    run = "".join(rng.choice(list("aeinorst"), 200))
+    known = {g for w in toxic.words_of(run) for g in toxic.grams(w)}
+    assert {zlib.crc32(run[i:i + n].encode()) % toxic.BUCKETS for n in (3, 4, 5) for i in range(len(run) - n + 1)} <= known
+    assert model.score(run[:90] + "horribledreadful" + run[90:]) > model.score(run) + 0.1
