@@ -3,8 +3,8 @@
 A text is cut into windows of words; a window is the average of the embeddings of its words and their character n-grams
 (hashed), followed by a softmax layer. A text is as toxic as its worst window, so long texts do not dilute a remark. Embeddings
 and layer are trained jointly in numpy on the driver, on at most ``max_rows`` labelled rows (those with the smallest hashes
-of their ids; all toxic and clean rows where there are fewer) and at most ``max_windows`` windows of a training text (spread evenly).
-Executors cut the windows, so the driver sees at most ``max_rows`` times ``max_windows`` of them and never a text.
+of their ids; all toxic and clean rows where there are fewer) and all windows of each. The driver reads one training text after the other
+and keeps word numbers only.
 
 Scoring maps over all whole texts with one scalar per n-gram, since averages and the layer are linear. Null and empty
 texts score as the window without words. Without both classes in the sample every text scores 0. Repeated rows are scored each.
@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from clipgraph.llm.common import LOWER_TABLE, crc_rest
 
 WORD = re.compile(r"[^\W_]+(?:[@$!*'0-9][^\W_]+)*")
-BUCKETS, DIM, WINDOW = 1 << 16, 8, 6
+BUCKETS, DIM, WINDOW, PIECE = 1 << 16, 8, 6, 16
 CACHE = 200_000
 
 
 def grams(word: str) -> tuple[int, ...]:
-    """Buckets of a word and its character n-grams of three to five; very long words by their first and last 32 characters."""
-    w = f"<{word}>" if len(word) <= 64 else f"<{word[:32]}~{word[-32:]}>"
+    """Buckets of a word and its character n-grams of three to five."""
+    w = f"<{word}>"
     size = len(w)
     if w.isascii():
         b = w.encode()
@@ -40,17 +41,16 @@ def grams(word: str) -> tuple[int, ...]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER_TABLE))
+    """Words; an unbroken run above 64 characters as overlapping pieces of it."""
+    words = WORD.findall((text or "").translate(LOWER_TABLE))
+    if max(map(len, words), default=0) <= 64:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= 64 else [w[i:i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
 
 
-def windows_of(text: str | None, max_windows: int) -> list[str]:
-    """Up to ``max_windows`` blank-joined windows spread over the whole text; very long words as in ``grams``."""
-    ws = words_of(text)
-    starts = range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2)
-    if len(starts) > max_windows:
-        starts = [starts[k] for k in np.linspace(0, len(starts) - 1, max_windows).astype(int)]
-    cut = (ws[lo:lo + WINDOW] for lo in starts)
-    return [" ".join(w if len(w) <= 64 else f"{w[:32]}~{w[-32:]}" for w in c) for c in cut if c]
+def starts_of(n: int) -> np.ndarray:
+    """First words of the windows that cover a text of ``n`` words."""
+    return np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
 
 
 class Known(dict):
@@ -81,41 +81,43 @@ class Model:
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
         total = np.append(0, np.cumsum(np.fromiter(map(self.known.__getitem__, words), dtype=complex, count=len(words))))
-        step = WINDOW // 2
-        lo = np.arange(0, max(1, len(words) - step), step)
+        lo = starts_of(len(words))
         hi = np.minimum(lo + WINDOW, len(words))
         span = total[hi] - total[lo]
         return float(1 / (1 + np.exp(-np.clip((span.real / span.imag + self.bias).max(), -50, 50))))
 
 
-def train(samples: list[list[str]], labels: np.ndarray, rounds: int = 12, seed: int = 7) -> Model:
-    """Joint training by Adagrad on the windows of each sample text; the worst window of a text and as many clean ones stand for all."""
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), -np.inf)
+def train(samples: Iterable[str], labels: list[int], rounds: int = 12, seed: int = 7) -> Model:
+    """Joint training by Adagrad on all windows of each sample (its words, blank-joined); the worst window of a text and as many clean ones stand for all.
+
+    ``labels`` may grow while the samples are read.
+    """
     rng = np.random.default_rng(seed)
     # windows hold word numbers and a word its n-grams once, so memory grows with the windows and not with their n-grams
-    number, ngrams, rows, owner = {}, [], [], []
+    number, flat, ends, rows = {}, array("i"), array("q", [0]), []
     seen = np.zeros((2, BUCKETS))
     for i, sample in enumerate(samples):
+        words = sample.split(" ") if sample else []
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+                flat.extend(grams(w))
+                ends.append(len(flat))
+        ids = np.array([number[w] for w in words] + [-1] * WINDOW, dtype=np.int32)
+        rows.append(ids[starts_of(len(words))[:, None] + np.arange(WINDOW)] if words else np.zeros((0, WINDOW), dtype=np.int32))
         mine = set()
-        for window in sample:
-            ids = []
-            for w in window.split(" "):
-                ids.append(number.setdefault(w, len(number)))
-                if ids[-1] == len(ngrams):
-                    ngrams.append(np.array(grams(w), dtype=np.int32))
-            rows.append(ids + [-1] * (WINDOW - len(ids)))
-            owner.append(i)
-            mine.update(ids)
-        if mine:
-            seen[int(labels[i]), np.unique(np.concatenate([ngrams[x] for x in mine]))] += 1
-    if not rows:
+        for x in set(ids.tolist()) - {-1}:
+            mine.update(flat[ends[x]:ends[x + 1]])
+        seen[int(labels[i]), list(mine)] += 1
+    labels = np.array(labels)
+    if len(set(labels.tolist())) < 2 or not number:
         return Model(np.zeros(BUCKETS), -np.inf)
-    windows, owner = np.array(rows, dtype=np.int32), np.array(owner, dtype=np.int32)
+    windows, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    del number, rows
     y = labels[owner].astype(float)
-    flat = np.concatenate(ngrams)
-    many = np.array([len(g) for g in ngrams] + [0], dtype=np.int64)  # the last one stands for the padding
-    firsts = np.cumsum(many[:-1]) - many[:-1]
+    flat, ends = np.frombuffer(flat, dtype=np.int32), np.frombuffer(ends, dtype=np.int64)
+    firsts = ends[:-1]
+    many = np.append(np.diff(ends), 0)  # the last one stands for the padding
     size = many[windows].sum(axis=1)
     # embeddings start from the log-odds of documents that hold the n-gram, along one direction, plus noise
     total = np.array([max(1, (labels == 0).sum()), max(1, (labels == 1).sum())])
@@ -135,7 +137,7 @@ def train(samples: list[list[str]], labels: np.ndarray, rounds: int = 12, seed:
         weight = np.where(y == 1, min(10.0, (y[worst] == 0).sum() / max(1, (y[worst] == 1).sum())) ** 0.5, 1.0)
         for lo in range(0, len(chosen), 64):
             batch = chosen[lo:lo + 64]
-            idx = np.concatenate([ngrams[x] for b in batch for x in windows[b] if x >= 0])
+            idx = np.concatenate([flat[ends[x]:ends[x + 1]] for b in batch for x in windows[b] if x >= 0])
             at = np.repeat(np.arange(len(batch)), size[batch])
             mean = np.zeros((len(batch), DIM))
             np.add.at(mean, at, emb[idx] / size[batch][at][:, None])
@@ -150,21 +152,24 @@ def train(samples: list[list[str]], labels: np.ndarray, rounds: int = 12, seed:
     return Model(emb @ layer, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 4000, max_windows: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 4000) -> Model:
     """Train on labelled rows outside the held-out fold; each class gets up to half of ``max_rows``."""
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([windows_of(t, max_windows) for t in texts], dtype=object)
+        return pd.Series([" ".join(words_of(t)) for t in texts], dtype=object)
 
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = (docs.select("doc_id", "text").where(crc_rest(F.col("doc_id"), modulus) != 0).join(known, "doc_id")
-            .select("toxic", F.xxhash64("doc_id", "text").alias("_h"), cut("text").alias("windows")))
-    samples, ys = [], []
-    for y in (0, 1):
-        for r in rows.where(F.col("toxic") == y).orderBy("_h").limit(max_rows // 2).select("windows").toLocalIterator():
-            samples.append(r["windows"])
-            ys.append(y)
-    return train(samples, np.array(ys))
+            .select("toxic", F.xxhash64("doc_id", "text").alias("_h"), cut("text").alias("words")))
+    ys = []
+
+    def samples() -> Iterator[str]:
+        for y in (0, 1):
+            for r in rows.where(F.col("toxic") == y).orderBy("_h").limit(max_rows // 2).select("words").toLocalIterator():
+                ys.append(y)
+                yield r["words"]
+
+    return train(samples(), ys)
 
 
 def scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
