@@ -10,7 +10,7 @@ from clipgraph.functions import arrays as A
 from clipgraph.operators.blocks import group_counts
 from clipgraph.operators.knn import edge_weights, knn
 from clipgraph.operators.vectors import unit_by
-from clipgraph.session import SMALL_BYTES, cut, join_small, keys, measured_bytes
+from clipgraph.session import SMALL_BYTES, cut, join_small, keys, measured_bytes, rounds
 
 CUT_EVERY = 5
 
@@ -284,15 +284,15 @@ def ensemble_runs(probs: DataFrame, how: str = "arith", ident: str = "clip_id",
     return mean.select(by, ident, A.E(A.softmax("_m")).alias(p))
 
 
-def components(edges: DataFrame, nodes: DataFrame, ident: str = "clip_id", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, ident: str = "clip_id", max_rounds: int | None = None) -> DataFrame:
     """Connected components of an undirected edge table: (clip, component = smallest id).
 
-    Every round takes the smallest neighbouring label and then the label's own label, so long chains shorten fast.
+    Every round takes the smallest neighbouring label and then the label's own label, so long chains shorten fast. Rounds go on until no label changes; a given limit that ends them earlier raises.
     """
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
                .distinct())
     labels = cut(nodes.select(ident, F.col(ident).alias("component")))
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         near = both.join(labels.select(F.col(ident).alias("dst"), F.col("component").alias("_c")), "dst") \
                    .groupBy("src").agg(F.min("_c").alias("_near"))
         stepped = labels.join(near.withColumnRenamed("src", ident), ident, "left") \
@@ -304,8 +304,8 @@ def components(edges: DataFrame, nodes: DataFrame, ident: str = "clip_id", max_r
         changed = new.where(F.col("_old") != F.col("component")).limit(1).count()
         labels = new.select(ident, "component")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components: labels still change after {max_rounds} rounds")
 
 
 def blend_cluster_mean(probs: DataFrame, clusters: DataFrame, rho: float, ident: str = "clip_id", p: str = "p",

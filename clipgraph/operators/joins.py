@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators import blocks
-from clipgraph.session import cut, keys
+from clipgraph.session import cut, keys, rounds
 
 E = A.E
 
@@ -181,16 +181,16 @@ def margin(df: DataFrame, by, dist: Distance, columns: Sequence[str], ident: str
 
 
 def best_rank_sum(df: DataFrame, by, dists: dict[str, Distance], columns: Sequence[str], k: int = 16,
-                  ident: str = "clip_id", max_rounds: int = 20) -> DataFrame:
+                  ident: str = "clip_id", max_rounds: int | None = None) -> DataFrame:
     """The row with the smallest sum of per-distance ranks, for every row: (src, dst, total).
 
     Candidates are the k nearest under each distance, with exact ranks. A row outside every list has a rank of at
-    least k under each distance, so a best total below len(dists) * k is final; the other rows go again with 2k.
+    least k under each distance, so a best total below len(dists) * k is final; the other rows go again with 2k until none is left (a given limit of rounds raises).
     """
     by = keys(by)
     left, done = df, None
     sizes = df.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("_others"))
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         cand = None
         for d in dists.values():
             rows = left.select(*by, ident, *columns)
@@ -209,10 +209,10 @@ def best_rank_sum(df: DataFrame, by, dists: dict[str, Distance], columns: Sequen
         done = part if done is None else done.unionByName(part)
         rest = best.where(~final)
         if not rest.limit(1).count():
-            break
+            return done
         left = cut(left.join(rest.select(F.col("src").alias(ident)), ident, "left_semi"))
         k *= 2
-    return done
+    raise RuntimeError(f"best_rank_sum: rows not final after {max_rounds} rounds")
 
 
 def mutual_best(pairs: DataFrame, ratio: float | None = None, dmax: float | None = None, d: str = "d",
@@ -231,20 +231,23 @@ def mutual_best(pairs: DataFrame, ratio: float | None = None, dmax: float | None
     return out.drop("_second", "_rr", "_rc")
 
 
-def match_one_to_one(pairs: DataFrame, c0: float, d: str = "d", max_rounds: int = 1000) -> DataFrame:
-    """One-to-one matching of candidate pairs in cost order: mutual best pairs are taken until none is left.
+def match_one_to_one(pairs: DataFrame, c0: float, d: str = "d", max_rounds: int | None = None) -> DataFrame:
+    """One-to-one matching of candidate pairs in cost order: mutual best pairs are taken until none is left (a given limit of rounds raises).
 
-    Pairs dearer than the cost c0 of staying alone never match. Not the cheapest assignment overall.
+    A repeated pair counts once, at its lowest cost. Pairs dearer than the cost c0 of staying alone never match. Not the cheapest assignment overall.
     """
-    left = cut(pairs.where(F.col(d) < c0).select("src", "dst", d))
-    done = None
-    for _ in range(max_rounds):
+    left = cut(pairs.where((F.col(d) < c0) & F.col("src").isNotNull() & F.col("dst").isNotNull()).groupBy("src", "dst").agg(F.min(d).alias(d)))
+    done = left.limit(0)
+    for i in rounds(max_rounds):
         best = cut(mutual_best(left, d=d))
         if not best.limit(1).count():
-            break
-        done = best if done is None else done.unionByName(best)
+            return done
+        done = done.unionByName(best)
+        done = cut(done) if i % 32 == 31 else done
         left = cut(left.join(best.select("src"), "src", "left_anti").join(best.select("dst"), "dst", "left_anti"))
-    return done if done is not None else left
+    if left.limit(1).count():
+        raise RuntimeError(f"match_one_to_one: pairs left after {max_rounds} rounds")
+    return done
 
 
 def match_series(a: DataFrame, b: DataFrame, name_a: str, name_b: str, sec: str = "sec", value: str = "change",

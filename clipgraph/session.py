@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rounds(limit: int | None) -> Iterable[int]:
+    """Numbers of rounds, without end when no limit is given."""
+    return count() if limit is None else range(limit)
+
+
 SMALL_BYTES = 128 << 20
 
 

@@ -378,3 +378,18 @@ def test_anchor_prior_never_sees_its_own_group(emb):
 def test_bootstrap_draws_as_many_groups_as_there_are(emb):
     d = metrics.bootstrap_draws(emb.withColumn("u", F.col("clip_id") % 6), "u", 5, 1)
     assert {r["s"] for r in d.groupBy("rep").agg(F.sum("k").alias("s")).collect()} == {6}
+
+
+def test_round_limits_never_return_unfinished_results(spark):
+    """A chain of nodes and a chain of pairs that match one a round are whole by default; a limit that ends them early raises."""
+    from clipgraph.operators import graph, joins
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src LONG, dst LONG")
+    nodes = spark.createDataFrame([(i,) for i in range(61)], "clip_id LONG")
+    assert {r["component"] for r in graph.components(edges, nodes).collect()} == {0}
+    pairs = spark.createDataFrame([x for i in range(4) for x in ((i, i, 2.0 * i), (i, i, 2.0 * i), (i, i + 1, 2.0 * i + 1))], "src LONG, dst LONG, d DOUBLE")
+    assert sorted((r["src"], r["dst"]) for r in joins.match_one_to_one(pairs, 100.0).collect()) == [(i, i) for i in range(4)]
+    with pytest.raises(RuntimeError):
+        graph.components(edges, nodes, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        joins.match_one_to_one(pairs, 100.0, max_rounds=1)
