@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgraph.llm import decon, html, licenses, lm, packing, quality, secrets, simhash, toxic, urls
+from clipgraph.llm import decon, html, language, licenses, lm, packing, periodic, quality, secrets, simhash, toxic, turns, urls
 from clipgraph.llm.common import crc_rest, table
 
 
@@ -62,11 +62,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_rest(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return judged.select("doc_id", (crc_rest(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(table(spark, sf_dir, "documents"), plant=True))
+
+
 def queries() -> dict:
     """All queries, the pipeline included."""
     import corpus_pipeline
 
-    ops = (op1_html, op2_urls, op3_licenses, op4_quality, op5_simhash, op6_packing, op7_lm, op8_decontamination, op9_secrets, op10_toxicity)
+    ops = (op1_html, op2_urls, op3_licenses, op4_quality, op5_simhash, op6_packing, op7_lm, op8_decontamination, op9_secrets, op10_toxicity,
+           op11_turns, op12_language, op13_runs)
     return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
 
