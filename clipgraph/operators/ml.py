@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import quantiles, with_row_index
 from clipgraph.operators.subspace import _per_matrix
-from clipgraph.operators.vectors import center_by, gram_by
+from clipgraph.operators.vectors import gram_by
 from clipgraph.session import cut, join_small, keys
 
 E = A.E
@@ -230,41 +230,6 @@ def impute_blocks(df: DataFrame, edges: DataFrame, n_sensors: int, f: str = "f",
         f, E(f"IF(block = {sensor}, {f}, coalesce(_pool, array_repeat(0D, {d})))")).drop("_pool")
 
 
-def complete_blocks(df: DataFrame, loadings: DataFrame, edges: DataFrame, lam: float, sig2: float, iters: int = 20,
-                    f: str = "f", sensor: str = "sensor", ident: str = "clip_id", every: int = 5) -> DataFrame:
-    """Low-rank latent row per clip under a graph penalty: minimises sum |x_i - W_s z_i|^2 + sig2 z'z
-    + lam * sum_edges |z_i - z_j|^2 by Jacobi sweeps (each sweep solves an r x r system per clip and averages the
-    neighbours by an edge join). ``loadings`` has one row per sensor with ``w`` (d vectors of length r).
-    """
-    und = edges.where("mutual").select("src", "dst").distinct()
-    deg = und.groupBy(F.col("src").alias(ident)).agg(F.count(F.lit(1)).alias("_deg"))
-    rows = df.join(loadings, sensor).join(deg, ident, "left").withColumn("_deg", E("CAST(coalesce(_deg, 0) AS DOUBLE)"))
-    r = A.width_of(loadings.select(E("w[0]").alias("_w0")), "_w0")
-    schema = f"{ident} {dict(df.dtypes)[ident]}, _inv array<array<double>>, _b array<double>, _deg double"
-
-    def prepare(batches):
-        for pdf in batches:
-            inv, b = [], []
-            for w, x, dg in zip(pdf["w"], pdf[f], pdf["_deg"]):
-                w = np.stack(w)
-                inv.append(list(np.linalg.inv(w.T @ w + (sig2 + 2 * lam * dg) * np.eye(r))))
-                b.append(w.T @ np.asarray(x))
-            yield pd.DataFrame({ident: pdf[ident], "_inv": inv, "_b": b, "_deg": pdf["_deg"]})
-
-    base = cut(rows.select(ident, "w", f, "_deg").mapInPandas(prepare, schema))
-    und = cut(und)
-    solve = lambda rhs: A.let(rhs, lambda v: A.each("_inv", lambda row: A.dot(row, v)))
-    z = base.select(ident, E(solve("_b")).alias("z"))
-    for step in range(1, iters + 1):
-        near = und.join(z.select(F.col(ident).alias("dst"), "z"), "dst").groupBy(F.col("src").alias(ident)) \
-                  .agg(E(A.weighted_sums("z", r, "1D")).alias("_nb"))
-        rhs = A.both("_b", f"coalesce(_nb, {A.zeros('_b')})", lambda b, x: f"{b} + 2 * {A.num(lam)} * {x}")
-        z = base.join(near, ident, "left").select(ident, E(solve(rhs)).alias("z"))
-        if step % every == 0 and step < iters:
-            z = cut(z)
-    return df.join(z, ident)
-
-
 LINK_FEATURES = ["d_last", "d_ext", "d_mean", "same", "d_signal", "rank_row", "rank_col", "signal_row", "signal_col"]
 
 
@@ -322,53 +287,3 @@ def pca_input(df: DataFrame, x: str, k: int, every: int = 7, by=None, order: Seq
     fit_rows = with_row_index(rows, by, list(order), out="_i").where(F.col("_i") % every == 0)
     model = PCA(k=k, inputCol="_v", outputCol="_z").fit(fit_rows)
     return model.transform(rows).withColumn("z", vector_to_array("_z")).drop("_v", "_z")
-
-
-# ---- factor analysis ---------------------------------------------------------------------------------------------
-
-def factor_model(df: DataFrame, x: str, blocks: Sequence[int], k: int, p: int, q: int, iters: int = 50,
-                 seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Structured factor analysis: k shared factors, p for the first block, q for each other one.
-
-    The estimation sees the rows only through one distributed second-moment matrix; loadings (D x factors) and noise
-    variances come back as small arrays.
-    """
-    gram = gram_by(df, None, x).orderBy("i").collect()  # D rows of a D x D matrix
-    n = gram[0]["n"]
-    s = np.array([r["g"] for r in gram]) / n
-    sizes = [k, p] + [q] * (len(blocks) - 1)
-    ends = np.cumsum(sizes)
-    row_end = np.cumsum(blocks)
-    free = np.zeros((row_end[-1], ends[-1]), bool)
-    free[:, :k] = True
-    for b in range(len(blocks)):
-        free[row_end[b] - blocks[b]:row_end[b], ends[b]:ends[b + 1]] = True
-    load = np.random.default_rng(seed).normal(scale=0.1, size=free.shape) * free
-    noise = np.diag(s) / 2 + 1e-3
-    for _ in range(iters):
-        scaled = load / noise[:, None]
-        cov = np.linalg.inv(np.eye(free.shape[1]) + load.T @ scaled)
-        gain = cov @ scaled.T
-        cross = s @ gain.T
-        second = cov + gain @ cross
-        load = np.zeros_like(load)
-        for pattern in np.unique(free, axis=0):  # rows of one block share their free columns
-            rows, cols = np.flatnonzero((free == pattern).all(1)), np.flatnonzero(pattern)
-            load[np.ix_(rows, cols)] = np.linalg.solve(second[np.ix_(cols, cols)], cross[np.ix_(rows, cols)].T).T
-        noise = np.maximum(np.diag(s) - (load * cross).sum(1), 1e-4)
-    return load, noise
-
-
-def factor_scores(df: DataFrame, x: str, load: np.ndarray, noise: np.ndarray, k: int,
-                  observed: Sequence[int] | None = None, out: str = "z") -> DataFrame:
-    """Posterior mean of the shared factors from the observed columns, as a literal linear map on centred rows."""
-    obs = np.arange(len(load)) if observed is None else np.asarray(observed)
-    scaled = load[obs] / noise[obs][:, None]
-    gain = (np.linalg.inv(np.eye(load.shape[1]) + load[obs].T @ scaled) @ scaled.T)[:k]
-    full = np.zeros((k, len(load)))
-    full[:, obs] = gain
-    table = df.sparkSession.createDataFrame([(int(j), [float(v) for v in row]) for j, row in enumerate(full)],
-                                            "j int, b array<double>")
-    from clipgraph.operators.vectors import coordinates
-
-    return coordinates(center_by(df, None, x), table, None, x, out=out)

@@ -144,9 +144,10 @@ def _(spark, d):
 
 @query("factor_analysis_scores")
 def _(spark, d):
+    from clipgraph.operators import factor
+
     rows = emb(spark, d)
-    load, noise = ml.factor_model(rows, "f", [32, 16, 16], 3, 2, 1, iters=10)
-    return long(ml.factor_scores(rows, "f", load, noise, 3), "z", digits=4)
+    return long(factor.scores(rows, "f", factor.fit(rows, "f", [32, 16, 16], 3, [2, 1, 1])), "z", digits=4)
 
 
 @query("impute_sensor_blocks", with_ctes(
@@ -160,8 +161,10 @@ def _(spark, d):
 
 @query("complete_sensor_blocks")
 def _(spark, d):
-    rows = emb(spark, d).select("clip_id", "grp", E("CAST(clip_id % 2 AS INT)").alias("sensor"), E("slice(f, 1, 16)").alias("f"))
-    basis = S.pca_by(emb(spark, d).withColumn("f", E("slice(f, 1, 16)")), None, 3)
-    w = basis.agg(F.sort_array(F.collect_list(F.struct("j", "b"))).alias("_b"))  # three directions
-    w = w.select(E("transform(sequence(0, 15), i -> transform(_b, x -> x.b[i]))").alias("w")).withColumn("sensor", E("explode(array(0, 1))"))
-    return long(ml.complete_blocks(rows, w, edges(spark, d), 0.1, 0.1, iters=5), "z", digits=4)
+    from clipgraph.operators.completion import complete
+
+    rows = emb(spark, d).select("clip_id", "grp", E("CAST(clip_id % 4 AS INT)").alias("sensor"), E("slice(f, 1 + 16 * CAST(clip_id % 4 AS INT), 16)").alias("f"))
+    basis = S.pca_by(emb(spark, d), None, 8)
+    w = basis.agg(F.sort_array(F.collect_list(F.struct("j", "b"))).alias("_b"))  # eight directions of all 64 dimensions, cut into the blocks of four sensors
+    w = w.select(E("explode(sequence(0, 3))").alias("sensor"), "_b").select("sensor", E("transform(sequence(16 * sensor, 16 * sensor + 15), i -> transform(_b, x -> x.b[i]))").alias("w"))
+    return long(complete(rows, w, edges(spark, d), 0.1, 0.1), "z", digits=4)

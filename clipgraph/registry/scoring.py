@@ -354,6 +354,31 @@ def _(spark, d):
     return rounded(J.match_one_to_one(costs(spark, d), 0.9))
 
 
+@query("cheapest_matching")
+def _(spark, d):
+    from clipgraph.operators.assignment import cheapest_matching
+
+    return rounded(cheapest_matching(costs(spark, d), 0.9).select("src", "dst", "d"))
+
+
+@query("cheapest_matching_cost", """WITH RECURSIVE pairs AS (SELECT s_nationkey AS nation, s_suppkey AS src, c_custkey AS dst, CAST(abs(s_acctbal - c_acctbal) AS DOUBLE) / 1000 AS d
+FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE abs(s_acctbal - c_acctbal) < 300),
+srcs AS (SELECT nation, src, row_number() OVER (PARTITION BY nation ORDER BY src) AS i, count(*) OVER (PARTITION BY nation) AS n FROM (SELECT DISTINCT nation, src FROM pairs)),
+walk AS (SELECT DISTINCT nation, 0 AS i, CAST([] AS BIGINT[]) AS used, 0.0::DOUBLE AS cost FROM srcs UNION ALL
+SELECT w.nation, w.i + 1, CASE WHEN o.dst IS NULL THEN w.used ELSE list_append(w.used, o.dst) END, w.cost + o.d FROM walk w JOIN srcs s ON s.nation = w.nation AND s.i = w.i + 1
+JOIN (SELECT nation, src, CAST(dst AS BIGINT) AS dst, d FROM pairs UNION ALL SELECT nation, src, NULL, 0.3 FROM srcs) o ON o.nation = s.nation AND o.src = s.src WHERE o.dst IS NULL OR NOT list_contains(w.used, o.dst))
+SELECT w.nation, s.n AS sources, round(min(w.cost), 5) AS cost FROM walk w JOIN srcs s ON s.nation = w.nation AND s.i = s.n WHERE w.i = s.n GROUP BY ALL""")
+def _(spark, d):
+    from clipgraph.operators.assignment import cheapest_matching
+
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    pairs = s.join(c, E("s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 300")).selectExpr(
+        "s_nationkey AS nation", "s_suppkey AS src", "c_custkey AS dst", "CAST(abs(s_acctbal - c_acctbal) AS DOUBLE) / 1000 AS d")
+    found = cheapest_matching(pairs, 0.3).select("src", "d")
+    sources = pairs.select("nation", "src").distinct().join(found, "src", "left")
+    return sources.groupBy("nation").agg(F.count("*").alias("sources"), F.round(F.sum(F.coalesce("d", F.lit(0.3))), 5).alias("cost"))
+
+
 @query("pair_values", with_ctes(f"SELECT src, dst, label_a = label_b AS same, {r('d2')} AS d FROM (SELECT r.*, a.label AS label_a, b.label AS label_b FROM ranks r JOIN emb a ON "
                                 f"a.clip_id = src JOIN emb b ON b.clip_id = dst) WHERE r1 < 4 OR r2 < 4", "ranks", "emb"))
 def _(spark, d):
