@@ -24,28 +24,70 @@ from clipgraph.session import cut
 
 WIDTH = 2048
 CACHE = 400_000
-SPLIT = re.compile(r"[ \n]+")
+#: Texts whose new words are encoded together.
+TOGETHER = 64
+#: Letters that fold to lower case one by one, then marks that are no apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()]*)")
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer never merges across a blank or line end, so parts are encoded once and remembered."""
+    """Ids of whole texts. The tokenizer never merges across a blank or line end, nor between letters and the marks after them, so
+    parts are put together from remembered words and marks; parts of any other form are encoded as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.parts, self.words = Tokenizer.from_file(path), {}, {}
+        # words end in a marked token, so many words can be encoded as one text and cut again
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, number in vocabulary.items():
+            self.last[number] = token.endswith("</w>")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words of plain letters or of plain marks."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends, data = np.nonzero(self.last[ids])[0] + 1, ids.tobytes()
+        if len(ends) != len(words):
+            raise ValueError("a word gave other than one word end")
+        lo = 0
+        for word, hi in zip(words, (4 * ends).tolist()):
+            self.words[word] = data[lo:hi]
+            lo = hi
+
+    def _add(self, new: set[str]) -> None:
+        plain, odd, missing = [], [], set()
+        for p in new:
+            m = PLAIN.fullmatch(p)
+            if m is None:
+                odd.append(p)
+                continue
+            word, marks = m[1].lower(), m[2]
+            plain.append((p, word, marks))
+            missing.update(x for x in (word, marks) if x and x not in self.words)
+        if missing:
+            self._learn(list(missing))
+        words = self.words
+        for p, word, marks in plain:
+            self.parts[p] = words[word] + words[marks] if marks else words[word]
+        if odd:
+            for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+                self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            parts = [p for p in SPLIT.split(text) if p]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({p for p in parts if p not in self.known})
+        for lo in range(0, len(texts), TOGETHER):
+            split = [t.replace("\n", " ").split(" ") for t in texts[lo:lo + TOGETHER]]
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            if len(self.words) > CACHE:
+                self.words.clear()
+            self.parts[""] = b""
+            new = set().union(*split).difference(self.parts)
             if new:
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-            yield np.frombuffer(b"".join([self.known[p] for p in parts]) + b"\0\0\0\0", dtype="<u4")
+                self._add(new)
+            for parts in split:
+                yield np.frombuffer(b"".join(map(self.parts.__getitem__, parts)) + b"\0\0\0\0", dtype="<u4")
 
 
 def pieces(docs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
