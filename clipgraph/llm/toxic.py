@@ -18,26 +18,58 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgraph.llm.common import LOWER_TABLE, crc_rest
 
 WORD = re.compile(r"[^\W_]+(?:[@$!*'0-9][^\W_]+)*")
 BUCKETS, DIM, WINDOW, PIECE = 1 << 16, 8, 6, 16
-CACHE = 200_000
+#: Words remembered by a task, and texts whose new words are looked up together.
+CACHE, TOGETHER = 200_000, 128
+
+
+def _crc_table() -> np.ndarray:
+    """What a byte does to a CRC-32, as the linear map of its bits."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> np.uint32(1) ^ np.uint32(0xEDB88320), t >> np.uint32(1))
+    return t
+
+
+TABLE = _crc_table()
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (CRC-32 of the UTF-8 bytes) of each word and its character n-grams of three to five, each once: one array and the number of
+    buckets a word."""
+    marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    data = np.frombuffer(b"".join(marked), dtype=np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # first byte of every character
+    width = np.diff(np.append(at, len(data)))
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    owner = np.repeat(np.arange(len(words), dtype=np.int64), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(at))  # characters to the end of the word
+    state = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32)
+    keys = [np.arange(len(words), dtype=np.int64) * BUCKETS + np.fromiter((zlib.crc32(m) % BUCKETS for m in marked), dtype=np.int64, count=len(words))]
+    for n in range(1, 6):
+        # the n-th character of the n-gram that starts at each character, byte by byte
+        state = state[:len(at) - n + 1]
+        char, many = at[n - 1:], width[n - 1:]
+        for byte in range(int(many.max(initial=0))):
+            wide = slice(None) if byte == 0 else np.flatnonzero(many > byte)
+            now = state[wide]
+            state[wide] = TABLE[(now ^ data[char[wide] + byte]) & np.uint32(0xFF)] ^ now >> np.uint32(8)
+        if n > 2:
+            whole = left[:len(state)] >= n
+            keys.append(owner[:len(state)][whole] * BUCKETS + ((state[whole] ^ np.uint32(0xFFFFFFFF)) % BUCKETS))
+    keys = np.unique(np.concatenate(keys))
+    return (keys % BUCKETS).astype(np.int32), np.bincount(keys // BUCKETS, minlength=len(words))
 
 
 def grams(word: str) -> tuple[int, ...]:
-    """Buckets of a word and its character n-grams of three to five."""
-    w = f"<{word}>"
-    size = len(w)
-    if w.isascii():
-        b = w.encode()
-        parts = [b, *[b[i:i + n] for n in (3, 4, 5) for i in range(size - n + 1)]]
-    else:
-        parts = [p.encode("utf-8", "surrogatepass") for p in (w, *[w[i:i + n] for n in (3, 4, 5) for i in range(size - n + 1)])]
-    return tuple(sorted({zlib.crc32(p) % BUCKETS for p in parts}))
+    """Buckets of one word."""
+    return tuple(grams_of([word])[0].tolist())
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,12 +92,14 @@ class Known(dict):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> complex:
+    def learn(self, words: set[str]) -> None:
+        """Make sure that all these words are there."""
         if len(self) > CACHE:
             self.clear()
-        g = grams(word)
-        out = self[word] = complex(self.weights[list(g)].sum(), len(g))
-        return out
+        new = list(words.difference(self))
+        if new:
+            flat, many = grams_of(new)
+            self.update(zip(new, (np.add.reduceat(self.weights[flat], np.cumsum(many) - many) + 1j * many).tolist()))
 
 
 class Model:
@@ -78,6 +112,16 @@ class Model:
         if not np.isfinite(self.bias):
             return 0.0
         words = words_of(text)
+        self.known.learn(set(words))
+        return self.score_words(words)
+
+    def score_all(self, texts: Iterable[str | None]) -> list[float]:
+        """Scores of many texts, new words of them together."""
+        split = [words_of(t) for t in texts]
+        self.known.learn(set().union(*split))
+        return [self.score_words(w) for w in split] if np.isfinite(self.bias) else [0.0] * len(split)
+
+    def score_words(self, words: list[str]) -> float:
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
         total = np.append(0, np.cumsum(np.fromiter(map(self.known.__getitem__, words), dtype=complex, count=len(words))))
@@ -98,11 +142,12 @@ def train(samples: Iterable[str], labels: list[int], rounds: int = 12, seed: int
     seen = np.zeros((2, BUCKETS))
     for i, sample in enumerate(samples):
         words = sample.split(" ") if sample else []
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
-                flat.extend(grams(w))
-                ends.append(len(flat))
+        new = [w for w in dict.fromkeys(words) if w not in number]
+        if new:
+            parts, many = grams_of(new)
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            ends.extend((ends[-1] + np.cumsum(many)).tolist())
+            flat.frombytes(parts.tobytes())
         ids = np.array([number[w] for w in words] + [-1] * WINDOW, dtype=np.int32)
         rows.append(ids[starts_of(len(words))[:, None] + np.arange(WINDOW)] if words else np.zeros((0, WINDOW), dtype=np.int32))
         mine = set()
@@ -159,15 +204,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 40
         return pd.Series([" ".join(words_of(t)) for t in texts], dtype=object)
 
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = (docs.select("doc_id", "text").where(crc_rest(F.col("doc_id"), modulus) != 0).join(known, "doc_id")
-            .select("toxic", F.xxhash64("doc_id", "text").alias("_h"), cut("text").alias("words")))
+    # ids alone are joined and ranked; at most ``max_rows`` of them are broadcast and fetch their texts in one scan for both classes
+    ids = docs.where(crc_rest(F.col("doc_id"), modulus) != 0).select("doc_id").distinct().join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    first = ids.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy("_h", "doc_id"))).where(F.col("_n") <= max_rows // 2).drop("_n")
+    rows = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("toxic", "_h", "doc_id", cut("text").alias("words"))
+    rows = rows.groupBy("toxic", "_h", "doc_id").agg(F.min("words").alias("words")).orderBy("toxic", "_h", "doc_id")
     ys = []
 
     def samples() -> Iterator[str]:
-        for y in (0, 1):
-            for r in rows.where(F.col("toxic") == y).orderBy("_h").limit(max_rows // 2).select("words").toLocalIterator():
-                ys.append(y)
-                yield r["words"]
+        for r in rows.toLocalIterator():
+            ys.append(r["toxic"])
+            yield r["words"]
 
     return train(samples(), ys)
 
@@ -180,7 +227,8 @@ def scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = Model(*shared.value)
         for batch in batches:
-            yield pd.Series([one.score(t) for t in batch], dtype=float)
+            texts = batch.tolist()
+            yield pd.Series([x for lo in range(0, len(texts), TOGETHER) for x in one.score_all(texts[lo:lo + TOGETHER])], dtype=float)
 
     return docs.withColumn(out, run(F.col("text")))
 
