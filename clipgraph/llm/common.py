@@ -1,9 +1,13 @@
 """Shared pieces: columns by position in a fresh frame, word patterns, row keys."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipgraph.session import ensure_checkpoint_dir
+
 #: Words between ASCII white space, and words of digits, letters and everything outside ASCII (after lower-casing A-Z).
 SPACED = "[^\\x20\\x09-\\x0D]+"
 ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -38,3 +42,22 @@ def same_key(left: str, right: str, names: list[str]) -> Column:
     for n in names:
         out = out & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
     return out
+
+
+class Scratch:
+    """Tables of one computation as Parquet in the shared checkpoint folder. A superseded table is dropped as soon as nothing reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[t])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
