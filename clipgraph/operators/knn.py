@@ -248,15 +248,15 @@ def edge_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def anchor_prior(query: DataFrame, base: DataFrame, n_classes: int, k: int = 10, temp: float = 10.0,
                  by: str = "grp", f: str = "f", ident: str = "clip_id", label: str = "label",
                  smooth: float = 1e-6, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Class prior of each row from its top-k labelled rows in *other* groups: (group, clip, p)."""
+    """Class prior of each row from its top-k labelled rows in *other* groups: (group, clip, p). A row without any has equal shares."""
     edges = cross_group_knn(query, base, k, by, f, ident, block_rows)
     voted = edges.join(base.select(F.col(ident).alias("dst"), F.col(label).alias("_y")), "dst")
     best = F.max("sim").over(Window.partitionBy("src"))
     voted = voted.withColumn("_w", F.exp(F.lit(float(temp)) * (F.col("sim") - best)))
     sums = ", ".join(f"sum(IF(_y = {c}, _w, 0D)) + {A.num(smooth)}" for c in range(n_classes))
     votes = voted.groupBy("src").agg(A.E(f"array({sums})").alias("_v"))
-    return query.select(by, ident).join(votes.withColumnRenamed("src", ident), ident) \
-                .select(by, ident, A.E(A.normalize("_v")).alias("p"))
+    return query.select(by, ident).join(votes.withColumnRenamed("src", ident), ident, "left") \
+                .select(by, ident, A.E(A.normalize(f"coalesce(_v, array_repeat(1D, {n_classes}))")).alias("p"))
 
 
 def cross_group_knn(query: DataFrame, base: DataFrame, k: int, by: str = "grp", f: str = "f",

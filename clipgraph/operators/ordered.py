@@ -68,8 +68,8 @@ def chunked(df: DataFrame, by, idx: str = "idx", before: int = 0, after: int = 0
 
 def shifted(df: DataFrame, c: str, n: int, by, idx: str = "idx", out: str | None = None,
             chunk: int = CHUNK) -> DataFrame:
-    """lag (n > 0) or lead (n < 0) of a column over an indexed group."""
-    out = out or f"{c}_shift"
+    """lag (n > 0) or lead (n < 0) of a column over an indexed group. Chunks hold at least |n| rows, so that a neighbour has the value."""
+    out, chunk = out or f"{c}_shift", max(chunk, abs(n))
     parts, w = chunked(df, by, idx, before=max(n, 0), after=max(-n, 0), chunk=chunk)
     value = F.lag(c, n).over(w) if n >= 0 else F.lead(c, -n).over(w)
     return parts.withColumn(out, value).where(~F.col("_ghost")).drop("_chunk", "_ghost")
@@ -126,23 +126,33 @@ def prefix_counts(df: DataFrame, by, value: str, weight: str, out: str = "before
 
 
 def quantiles(df: DataFrame, by, value: str, qs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: (group, q, value), by position rather than by collecting values."""
+    """Exact quantiles with linear interpolation: (group, q, value).
+
+    Equal values are counted where they are and travel once, so ties spread over all tasks. A value holds the positions from the number
+    of smaller ones on; each row picks the quantiles whose positions it holds, and two partial sums give the interpolation.
+    """
     by = keys(by)
-    grid = df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    indexed = with_row_index(df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull()),
-                             by, ["_v"], out="_i", size="_n")
-    pos = F.col("q") * (F.col("_n") - 1)
-    near = indexed.join(F.broadcast(grid), (F.col("_i") == F.floor(pos)) | (F.col("_i") == F.ceil(pos)))
-    frac = pos - F.floor(pos)
-    part = F.when(F.floor(pos) == F.ceil(pos), F.col("_v")) \
-            .when(F.col("_i") == F.floor(pos), F.col("_v") * (1 - frac)).otherwise(F.col("_v") * frac)
-    return near.withColumn("_part", part).groupBy(*by, "q").agg(F.sum("_part").alias(value))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    placed = join_small(prefix_counts(counts, by, "_v", "_c", "_b"), counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
+    held = lambda p: (p >= F.col("_b")) & (p < F.col("_b") + F.col("_c"))
+    parts = []
+    for q in qs:
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        low = F.when(held(lo), F.when(lo == hi, F.col("_v")).otherwise(F.col("_v") * (1 - (pos - lo))))
+        high = F.when(held(hi) & (lo != hi), F.col("_v") * (pos - lo))
+        parts += [F.struct(F.lit(float(q)).alias("q"), x.cast("double").alias("part")) for x in (low, high)]
+    near = placed.select(*by, F.explode(F.filter(F.array(*parts), lambda x: x["part"].isNotNull())).alias("_p"))
+    return near.groupBy(*by, F.col("_p.q").alias("q")).agg(F.sum("_p.part").alias(value))
 
 
 def average_ranks(df: DataFrame, value: str, by=None, out: str = "rank") -> DataFrame:
-    """1-based rank of every row, ties averaged."""
+    """1-based rank of every row, ties averaged; rows without a value keep a null rank."""
     by = keys(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = prefix_counts(counts, by, value, "_c", "_b")
-    ranked = ranked.select(*by, value, (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranked, [*by, value])
+    ranked = ranked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])], (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
+    same = F.lit(True)
+    for i, c in enumerate([*by, value]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranked, same, "left").drop(*[f"_k{i}" for i in range(len(by) + 1)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import quantiles
 from clipgraph.operators.vectors import center_by, coordinates, gram_by, project_out
-from clipgraph.session import cut, keys
+from clipgraph.session import cut, join_small, keys
 
 E = A.E
 
@@ -29,6 +29,11 @@ def _per_matrix(gram: DataFrame, by: list[str], solve, schema: str, columns: tup
     return gram.groupBy(*key).applyInPandas(run, full)
 
 
+def _vectors(rows: np.ndarray) -> pd.Series:
+    """A column of vectors that stays one when there are none (a group of rank 0)."""
+    return pd.Series(list(rows), dtype=object)
+
+
 def pca_by(df: DataFrame, by, m: int | None = None, f: str = "f", weight: str | None = None) -> DataFrame:
     """Principal directions per group, strongest first: (group, j, b, lam, share). The sign makes the largest entry
     positive."""
@@ -42,7 +47,7 @@ def pca_by(df: DataFrame, by, m: int | None = None, f: str = "f", weight: str |
         vec = vec[:, :k].T
         top = np.abs(vec).argmax(1) if k else np.array([], int)
         vec = vec * np.sign(vec[np.arange(k), top])[:, None]
-        return pd.DataFrame({"j": np.arange(k, dtype=np.int32), "b": list(vec), "lam": lam[:k],
+        return pd.DataFrame({"j": np.arange(k, dtype=np.int32), "b": _vectors(vec), "lam": lam[:k],
                              "share": lam[:k] / max(lam.sum(), 1e-300)})
 
     return cut(_per_matrix(gram_by(df, by, f, weight), by, solve, "j int, b array<double>, lam double, share double"))
@@ -59,10 +64,11 @@ def drop_pc_band(df: DataFrame, by, lo: int, hi: int, f: str = "f") -> DataFrame
     return project_out(center_by(df, by, f), basis, by, f)
 
 
-def drop_weighted_pcs(df: DataFrame, by, m: int, spread: str, how: str, q: float = 0.5, f: str = "f") -> DataFrame:
+def drop_weighted_pcs(df: DataFrame, by, m: int, spread: str, how: str, q: float = 0.5, f: str = "f", slack: int | None = 5) -> DataFrame:
     """Remove directions estimated robustly: weights 1 / (1 + spread / median), or only rows with spread <= quantile.
 
-    Both thresholds are exact quantiles found by position. A trimmed group too small for m directions uses all rows.
+    Both thresholds are exact quantiles found by position. A trimmed group of at most m + ``slack`` rows uses all rows
+    (``slack=None``: never).
     """
     by = keys(by)
     level = 0.5 if how == "weighted" else q
@@ -72,19 +78,19 @@ def drop_weighted_pcs(df: DataFrame, by, m: int, spread: str, how: str, q: float
         rows = rows.withColumn("_w", E(f"1 / (1 + {spread} / (_t + 1e-9D))"))
     else:
         kept = rows.groupBy(*by).agg(F.count_if(E(f"{spread} <= _t")).alias("_kept"))
-        rows = rows.join(kept, by).withColumn("_w", E(f"IF(_kept <= {m + 5} OR {spread} <= _t, 1D, 0D)"))
+        rows = rows.join(kept, by).withColumn("_w", E(f"IF(_kept <= {-1 if slack is None else m + slack} OR {spread} <= _t, 1D, 0D)"))
     return project_out(center_by(df, by, f), pca_by(rows, by, m, f, "_w"), by, f)
 
 
 def whiten(df: DataFrame, by, n: int, f: str = "f", equalize: bool = True) -> DataFrame:
-    """Coordinates in the top n directions, scaled to unit variance when ``equalize``."""
+    """Coordinates in the top n directions, scaled to unit variance when ``equalize``; zeros where a group has fewer directions."""
     by = keys(by)
     basis = pca_by(df, by, n, f)
     if equalize:
         sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         basis = (basis.join(sizes, by) if by else basis.crossJoin(F.broadcast(sizes))) \
             .withColumn("b", E(A.scale("b", "sqrt(_n / greatest(lam, 1e-300D))")))
-    return coordinates(center_by(df, by, f), basis, by, f, out=f)
+    return coordinates(center_by(df, by, f), basis, by, f, out=f, width=n)
 
 
 def truncate(df: DataFrame, by, n: int, f: str = "f") -> DataFrame:
@@ -113,7 +119,7 @@ def span_basis(rows: DataFrame, by, vec: str, center: bool = False, rank: int |
         _, s, vt = np.linalg.svd(x, full_matrices=False)
         k = int((s > 1e-9 * max(s.max(), 1e-300)).sum()) if len(s) else 0
         k = k if rank is None else min(k, rank)
-        out = pd.DataFrame({"j": np.arange(k, dtype=np.int32), "b": list(vt[:k])})
+        out = pd.DataFrame({"j": np.arange(k, dtype=np.int32), "b": _vectors(vt[:k])})
         for b in reversed(by):
             out.insert(0, b, pdf[b].iloc[0])
         return out
@@ -132,8 +138,8 @@ def drop_channels(df: DataFrame, by, rank: str, j: int, f: str = "f", m: int = 3
     w = Window.partitionBy(*by).orderBy(F.desc("_e"), "i")  # d rows per group
     top = score.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= j)
     dropped = top.groupBy(*by).agg(F.collect_set("i").alias("_drop"))
-    joined = df.join(dropped, by) if by else df.crossJoin(F.broadcast(dropped))
-    return joined.withColumn(f, E(f"filter({f}, (x, i) -> NOT array_contains(_drop, i))")).drop("_drop")
+    joined = join_small(df, dropped, by, "left")
+    return joined.withColumn(f, E(f"filter({f}, (x, i) -> NOT array_contains(coalesce(_drop, array()), i))")).drop("_drop")
 
 
 def spectrum(df: DataFrame, by, f: str = "f") -> DataFrame:
@@ -146,14 +152,14 @@ def spectrum(df: DataFrame, by, f: str = "f") -> DataFrame:
         F.sum(E("IF(j < 1, share, 0D)")).alias("pc1"), F.sum(E("IF(j < 10, share, 0D)")).alias("top10"),
         F.sum(E("IF(j < 30, share, 0D)")).alias("top30"), (1 / F.sum(E("share * share"))).alias("eff_dim"))
     cos = mean_pair_cosine(df, by, f)
-    return eig.join(cos, by) if by else eig.crossJoin(cos)
+    return join_small(cos, eig, by, "left")  # a group of rank 0 has no directions and keeps its row
 
 
 def mean_pair_cosine(df: DataFrame, by, f: str = "f") -> DataFrame:
     by = keys(by)
     unit = center_by(df, by, f).withColumn(f, E(A.l2_normalize(f)))
     g = unit.groupBy(*by).agg(A.vec_sum(f).alias("_s"), F.sum(E(A.dot(f, f))).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return g.select(*by, E(f"({A.dot('_s', '_s')} - _d) / (_n * (_n - 1))").alias("mean_cos"))
+    return g.select(*by, E(f"({A.dot('_s', '_s')} - _d) / nullif(_n * (_n - 1), 0)").alias("mean_cos"))
 
 
 def class_mean_basis(df: DataFrame, by: str, label: str, drop_null: bool = True, f: str = "f",

@@ -12,8 +12,8 @@ from clipgraph.operators.ordered import with_row_index
 from clipgraph.session import join_small, keys
 
 
-def _join_stats(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    return join_small(df, stats, by)
+def _join_stats(df: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    return join_small(df, stats, by, how)
 
 
 def _in_order(order: str, value: str) -> str:
@@ -122,28 +122,38 @@ def _split(table: pa.Table, by: list[str]):
             start = i
 
 
+NO_BASIS = "CAST(array() AS ARRAY<ARRAY<DOUBLE>>)"
+
+
 def project_out(df: DataFrame, basis: DataFrame, by=None, f: str = "f", vec: str = "b") -> DataFrame:
-    """f - sum_b (f . b) b for an orthonormal basis table (group, j, b)."""
+    """f - sum_b (f . b) b for an orthonormal basis table (group, j, b). Groups without a basis row stay as they are."""
     by = keys(by)
     collected = basis.groupBy(*by).agg(F.collect_list(vec).alias("_basis"))
     # the basis is orthonormal, so every coefficient can come from the partly reduced row
-    out = A.fold("_basis", lambda acc, b: A.let(A.dot(acc, b), lambda c: A.both(
+    out = A.fold(f"coalesce(_basis, {NO_BASIS})", lambda acc, b: A.let(A.dot(acc, b), lambda c: A.both(
         acc, b, lambda x, y: f"{x} - {c} * {y}")), zero=f)
-    return _join_stats(df, collected, by).withColumn(f, A.E(out)).drop("_basis")
+    return _join_stats(df, collected, by, "left").withColumn(f, A.E(out)).drop("_basis")
 
 
 def coordinates(df: DataFrame, basis: DataFrame, by=None, f: str = "f", vec: str = "b", out: str = "z",
-                order: str = "j") -> DataFrame:
-    """Coordinates of each row in a basis table, in the order of ``order``."""
+                order: str = "j", width: int | None = None) -> DataFrame:
+    """Coordinates of each row in a basis table, in the order of ``order``.
+
+    Groups with fewer directions get fewer coordinates (none without a basis row), or zeros up to ``width``.
+    """
     by = keys(by)
     collected = basis.groupBy(*by).agg(
         A.E(_in_order(order, vec)).alias("_basis"))
-    return _join_stats(df, collected, by).withColumn(out, A.E(A.each("_basis", lambda b: A.dot(f, b)))).drop("_basis")
+    found = A.each(f"coalesce(_basis, {NO_BASIS})", lambda b: A.dot(f, b))
+    if width is not None:
+        found = A.let(found, lambda z: f"concat({z}, array_repeat(0D, greatest({width} - size({z}), 0)))")
+    return _join_stats(df, collected, by, "left").withColumn(out, A.E(found)).drop("_basis")
 
 
 def subtract_class_means(df: DataFrame, assign: str, n_classes: int, by, lam: float, f: str = "f") -> DataFrame:
-    """Subtract lam x (own mixture of the group's soft class means). ``assign`` is a row's class weights."""
+    """Centre inside the group, then subtract lam x (own mixture of the group's soft class means). ``assign`` is a row's class weights."""
     by = keys(by)
+    df = center_by(df, by, f)
     long = df.select(*by, F.col(f).alias("_f"), F.posexplode(assign).alias("_c", "_w")).where(F.col("_w") > 0)
     sums = long.groupBy(*by, "_c").agg(A.vec_sum(A.scale("_f", "_w")).alias("_s"), F.sum("_w").alias("_t"))
     means = sums.select(*by, F.struct(F.col("_c"), A.E(A.divide("_s", "(_t + 1e-9D)")).alias("m")).alias("_cm"))

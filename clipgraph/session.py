@@ -56,9 +56,11 @@ def small_side(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
-def join_small(df: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
-    """Attach a per-group table (a single row without keys)."""
-    return df.join(small_side(side), by) if by else df.crossJoin(F.broadcast(side))
+def join_small(df: DataFrame, side: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Attach a per-group table (a single row without keys); ``how="left"`` keeps rows of groups that it does not name, with nulls."""
+    if by:
+        return df.join(small_side(side), by, how)
+    return df.join(F.broadcast(side), F.lit(True), how)
 
 
 def keys(by: str | Sequence[str] | None) -> list[str]:
