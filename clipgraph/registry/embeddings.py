@@ -172,11 +172,14 @@ def _(spark, d):
     return long(V.project_out(emb(spark, d), basis, "grp"), "f")
 
 
+cte("cen_coord", f"SELECT clip_id, grp, pos, f[pos] AS v FROM cen, range(1, {DIMS + 1}) AS t(pos)", "cen")
+
+
 @query("subtract_class_means", with_ctes(
-    f"SELECT clip_id, CAST(c.pos - 1 AS INT) AS c, {r('c.v - 0.5 * m')} AS v FROM coord c JOIN (SELECT p.clip_id, k.pos, "
-    f"sum(p.v * k.m) AS m FROM p JOIN (SELECT p.grp, p.c, x.pos, sum(p.v * x.v) / (sum(p.v) + 1e-9) AS m FROM p JOIN coord x "
+    f"SELECT clip_id, CAST(c.pos - 1 AS INT) AS c, {r('c.v - 0.5 * m')} AS v FROM cen_coord c JOIN (SELECT p.clip_id, k.pos, "
+    f"sum(p.v * k.m) AS m FROM p JOIN (SELECT p.grp, p.c, x.pos, sum(p.v * x.v) / (sum(p.v) + 1e-9) AS m FROM p JOIN cen_coord x "
     f"USING (clip_id) GROUP BY p.grp, p.c, x.pos) k ON k.grp = p.grp AND k.c = p.c GROUP BY p.clip_id, k.pos) s USING (clip_id, pos)",
-    "coord", "p"))
+    "cen_coord", "p").replace(" AS (", " AS MATERIALIZED ("))
 def _(spark, d):
     rows = emb(spark, d).join(probs(spark, d).select("clip_id", "p"), "clip_id")
     return long(V.subtract_class_means(rows, "p", N_CLASSES, "grp", 0.5), "f")
