@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
-from clipgraph.operators.ordered import quantiles, with_row_index
+from clipgraph.operators.ordered import with_row_index
 from clipgraph.operators.subspace import _per_matrix
 from clipgraph.operators.vectors import gram_by
 from clipgraph.session import cut, join_small, keys
@@ -249,41 +249,16 @@ def link_scorer(pairs: DataFrame, label: str, fold: str, features: Sequence[str]
     return parts[0].unionByName(parts[1])
 
 
-def self_train(df: DataFrame, probs: DataFrame, x: str, q: float, beta: float, n_classes: int, by: str = "grp",
-               estimator: Estimator | None = None, ident: str = "clip_id", p: str = "p",
-               min_rows: int = 200, min_classes: int = 5) -> DataFrame:
-    """Pseudo-labels above a per-group confidence quantile train one model on group-tagged rows; blended back by beta.
-
-    Groups with too few confident rows or classes keep their probabilities.
-    """
-    rows = df.join(probs.select(ident, p), ident).withColumn("_conf", E(f"array_max({p})")) \
-             .withColumn("_y", E(A.argmax(p)))
-    level = quantiles(rows, by, "_conf", [q]).select(by, F.col("_conf").alias("_t"))
-    rows = join_small(rows, level, [by]).withColumn("_use", F.col("_conf") >= F.col("_t"))
-    good = rows.where("_use").groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("_y").alias("_c")) \
-               .select(by, E(f"_n >= {min_rows} AND _c >= {min_classes}").alias("_ok"))
-    rows = cut(rows.join(good, by).withColumn("features", array_to_vector(E(A.to_double(x))))
-               .withColumn("label", F.col("_y").cast("double")))
-    est = estimator or LogisticRegression(maxIter=50, regParam=0.01)
-    usable = rows.where("_use AND _ok")
-    if not usable.limit(1).count():
-        return rows.select(by, ident, p)
-    scored = est.fit(usable).transform(rows).withColumn("_s", vector_to_array("probability"))
-    pad = A.let("_s", lambda s: f"transform(sequence(0, {n_classes - 1}), i -> IF(i < size({s}), {s}[i], 0D))")
-    mixed = A.both(p, pad, lambda a, b: f"{A.num(1 - beta)} * {a} + {A.num(beta)} * {b}")
-    return scored.select(by, ident, E(f"IF(_ok, {mixed}, {p})").alias(p))
-
-
 def fit_soft_labels(df: DataFrame, x: str, p: str, max_iter: int = 50):
-    """A classifier on soft labels: a row appears once per class, weighted by its probability."""
+    """A classifier on soft labels: a row appears once per class with a probability above 0, weighted by it."""
     long = df.select(array_to_vector(E(A.to_double(x))).alias("features"), E(f"posexplode({p})").alias("_c", "weight")) \
-             .where("weight > 1e-6").withColumn("label", F.col("_c").cast("double"))
+             .where("weight > 0").withColumn("label", F.col("_c").cast("double"))
     return LogisticRegression(maxIter=max_iter, weightCol="weight").fit(long)
 
 
-def pca_input(df: DataFrame, x: str, k: int, every: int = 7, by=None, order: Sequence[str] = ("clip_id",)) -> DataFrame:
-    """Coordinates in k principal components fitted on every ``every``-th row, as ``z``."""
+def pca_input(df: DataFrame, x: str, k: int, every: int = 1, by=None, order: Sequence[str] = ("clip_id",)) -> DataFrame:
+    """Coordinates in k principal components fitted on all rows (or on every ``every``-th one), as ``z``."""
     rows = df.withColumn("_v", array_to_vector(E(A.to_double(x))))
-    fit_rows = with_row_index(rows, by, list(order), out="_i").where(F.col("_i") % every == 0)
+    fit_rows = rows if every == 1 else with_row_index(rows, by, list(order), out="_i").where(F.col("_i") % every == 0)
     model = PCA(k=k, inputCol="_v", outputCol="_z").fit(fit_rows)
     return model.transform(rows).withColumn("z", vector_to_array("_z")).drop("_v", "_z")
