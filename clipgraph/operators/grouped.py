@@ -39,7 +39,7 @@ def blocks(rows: DataFrame, by: str, ident: str, x: str, y: str, use: str, block
     return cut(got.select(by, E("transform(_p, p -> p.id)").alias("ids"), E("transform(_p, p -> p.x)").alias("xs"), E("transform(_p, p -> p.y)").alias("ys"), E("transform(_p, p -> p.u)").alias("us")))
 
 
-def fit(packed: DataFrame, rows: DataFrame, by: str, x: str, use: str, n_classes: int, ridge: float, tol: float = 1e-4, max_steps: int | None = None) -> DataFrame:
+def fit(packed: DataFrame, rows: DataFrame, by: str, x: str, use: str, n_classes: int, ridge: float, tol: float = 1e-3, max_steps: int | None = None) -> DataFrame:
     """(group, w): class x (features + intercept) weights of every group with a used row.
 
     Steps go on until no group's scaled gradient exceeds ``tol``; a limit of steps that ends them earlier raises.
@@ -113,7 +113,7 @@ def predict(packed: DataFrame, weights: DataFrame, by: str, ident: str, ident_ty
 
 
 def self_train(df: DataFrame, probs: DataFrame, x: str, q: float, beta: float, n_classes: int, by: str = "grp", ridge: float = 0.01, ident: str = "clip_id",
-               p: str = "p", min_rows: int | None = 200, min_classes: int | None = 5, tol: float = 1e-4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               p: str = "p", min_rows: int | None = 200, min_classes: int | None = 5, tol: float = 1e-3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each group learns from its own most confident rows (at or above its ``q`` quantile) and is blended with its model: (1 - beta) p + beta s.
 
     Groups with fewer than ``min_rows`` confident rows or ``min_classes`` classes among them keep their probabilities; None takes every group.

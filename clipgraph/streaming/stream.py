@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clipgraph.functions import arrays as A
 
@@ -60,13 +61,86 @@ def stream_enrich(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame
     return df.join(dim, list(on), "left")
 
 
-def stream_refine(df: DataFrame, refine: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, **trigger):
-    """Run the batch operator on every closed part of a session; each batch overwrites its own folder, so a retried
-    batch does not write twice."""
-    def run(batch: DataFrame, epoch: int) -> None:
-        refine(batch).write.mode("overwrite").parquet(f"{sink}/part={epoch}")
+class PartRefiner:
+    """Runs a batch operator once on every part of the time line, when the part is closed.
 
-    return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    A part holds the rows whose event time falls into one interval of ``width_us`` microseconds; it closes when the latest time seen, less
+    ``late_us``, has passed its end. Rows wait for that in a table beside the checkpoint, one folder per micro-batch: a part of any size lies spread
+    over files and tasks, not in one key's state. Rows of closed parts are late and dropped, as a watermark does. Every folder belongs to one
+    micro-batch and is written as a whole, so a retried batch changes nothing, and the results do not depend on how the rows were cut into batches.
+    ``finish`` closes what is open when the stream has ended.
+    """
+
+    def __init__(self, refine: Callable[[DataFrame], DataFrame], folder: str, width_us: int, late_us: int, ts: str = "ts", part: str = "part"):
+        self.refine, self.folder, self.width, self.late, self.ts, self.part = refine, folder, width_us, late_us, ts, part
+
+    def _closed(self, spark: SparkSession, before: int) -> int | None:
+        """The time up to which parts were closed before micro-batch ``before``."""
+        marks = spark.read.schema("epoch LONG, until LONG").parquet(f"{self.folder}/marks")
+        return marks.where(F.col("epoch") < before).agg(F.max("until")).head()[0]
+
+    def _emit(self, spark: SparkSession, lo: int | None, hi: int | None, epoch: int) -> None:
+        end = (F.col(self.part) + 1) * self.width
+        rows = spark.read.schema(self.schema).parquet(f"{self.folder}/rows")
+        done = rows.where((F.lit(True) if lo is None else end > lo) & (F.lit(True) if hi is None else end <= hi))
+        self.refine(done).write.mode("overwrite").parquet(f"{self.folder}/refined/batch={epoch}")
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        us = F.unix_micros(F.col(self.ts).cast("timestamp"))
+        rows = batch.withColumn(self.part, F.floor(us / self.width).cast("long"))
+        self.schema = rows.schema
+        if epoch == 0:
+            spark.createDataFrame([(-1, None)], "epoch LONG, until LONG").write.mode("overwrite").parquet(f"{self.folder}/marks/of=-1")
+        before = self._closed(spark, epoch)
+        if before is not None:
+            rows = rows.where((F.col(self.part) + 1) * self.width > before)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/rows/of={epoch}")
+        latest = spark.read.schema(self.schema).parquet(f"{self.folder}/rows/of={epoch}").agg(F.max(us)).head()[0]
+        until = before if latest is None else max(latest - self.late, before if before is not None else latest - self.late)
+        if until is not None:
+            self._emit(spark, before, until, epoch)
+        spark.createDataFrame([(epoch, until)], "epoch LONG, until LONG").write.mode("overwrite").parquet(f"{self.folder}/marks/of={epoch}")
+
+    def finish(self, spark: SparkSession, schema: StructType | None = None) -> None:
+        """Refine the parts that were still open when the stream ended."""
+        if schema is not None:
+            self.schema = schema
+        self._emit(spark, self._closed(spark, 1 << 62), None, -1)
+
+
+def stream_refine(df: DataFrame, refiner: PartRefiner, **trigger) -> DataFrame:
+    """Feed a stream to a refiner until it ends, close the last parts and return all refined rows."""
+    query = df.writeStream.foreachBatch(refiner).option("checkpointLocation", f"{refiner.folder}/log").trigger(**(trigger or {"availableNow": True})).start()
+    query.awaitTermination()
+    refiner.finish(df.sparkSession)
+    return df.sparkSession.read.parquet(f"{refiner.folder}/refined").drop("batch")
+
+
+#: A stream ends with a row at this time: the watermark passes everything before it.
+END_OF_TIME = "9999-01-01 00:00:00"
+
+
+def with_end(df: DataFrame, folder: str, ts: str = "ts") -> DataFrame:
+    """The stream together with closing rows, which ``run_to_end`` puts into ``folder``. They hold nothing but the time, and no window of theirs ever closes."""
+    ends = df.sparkSession.readStream.schema(f"{ts} {dict(df.dtypes)[ts]}").parquet(folder)
+    return df.unionByName(ends, allowMissingColumns=True)
+
+
+def run_to_end(make: Callable[[DataFrame], DataFrame], df: DataFrame, folder: str, ts: str = "ts") -> DataFrame:
+    """Run an append query over a stream to its end, then once more with a closing row, so that windows and sessions open at the end come out too."""
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], f"{ts} {dict(df.dtypes)[ts]}")
+    empty.write.mode("append").parquet(f"{folder}/ends")
+
+    def drain() -> None:
+        out = make(with_end(df, f"{folder}/ends", ts))
+        out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+
+    drain()
+    empty.unionByName(spark.range(1).select(F.lit(END_OF_TIME).cast(dict(df.dtypes)[ts]).alias(ts))).coalesce(1).write.mode("append").parquet(f"{folder}/ends")
+    drain()
+    return spark.read.schema(make(df).schema).parquet(f"{folder}/out")
 
 
 def stream_counts(df: DataFrame, by: Sequence[str] = ("rec",), label: str = "label") -> DataFrame:
