@@ -51,8 +51,14 @@ class Scratch:
         self.spark, self.folder, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
-        df.write.parquet(path)
+        """Write a table and read it back; the shuffle files of the job go with its end, since later plans start from the table."""
+        path, setting = f"{self.folder}/{len(self.paths)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[out] = path
         return out
