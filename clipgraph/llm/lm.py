@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipgraph.llm.common import SPACED, crc_rest, lowered, text_of
-from clipgraph.session import cut, small_side
+from clipgraph.llm.common import SPACED, Scratch, crc_rest, lowered, text_of
+from clipgraph.session import measured_bytes
 
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0, 0.75, 1.0
@@ -85,23 +85,24 @@ def score(docs: DataFrame, modulus: int = 10, burn_in: int = 1, samples: int = 2
     travels as its row key and one hash of its pair, and only once; its values come back summed per row and task.
     """
     held_out = crc_rest(F.col("doc_id"), modulus) == 0
-    toks = tokens(docs)
-    pairs = cut(toks.groupBy("u", "w").agg(F.count_if(~held_out).cast("double").alias("c")))
-    words = cut(pairs.groupBy("w").agg(F.sum("c").alias("count"), F.count_if(F.col("c") == 1).cast("double").alias("once")))
-    contexts = cut(pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count_if(F.col("c") == 1).cast("double").alias("once")))
+    toks, scratch = tokens(docs), Scratch(docs.sparkSession)
+    pairs = scratch.save(toks.groupBy("u", "w").agg(F.count_if(~held_out).alias("c")))
+    words = scratch.save(pairs.groupBy("w").agg(F.sum("c").cast("double").alias("count"), F.count_if(F.col("c") == 1).cast("double").alias("once")))
+    contexts = scratch.save(pairs.groupBy("u").agg(F.sum("c").cast("double").alias("cu"), F.count_if(F.col("c") == 1).cast("double").alias("once")))
     n, v = words.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0.0)), F.count("*")).head()
     base = 1.0 / (v + 1)
+    near = lambda t: F.broadcast(t) if measured_bytes(t) <= limit else t
     # seatings of the pairs with two or more customers; the kept sweeps stay on the row as t0, t1, ...
-    many, root_tables = cut(pairs.where("c > 1").withColumn("t", F.lit(1.0))), float(v)
+    many, root_tables = scratch.save(pairs.where("c > 1").select("u", "w", F.col("c").cast("double").alias("c"), F.lit(1.0).alias("t"))), float(v)
     root_seating, context_seating = seating(ROOT_STRENGTH, ROOT_DISCOUNT), seating(STRENGTH, DISCOUNT)
     per_word, per_context = words.select("w", "count"), contexts.select("u", "cu")
     for sweep in range(burn_in + samples):
         w = words.join(many.groupBy("w").agg(F.sum("t").alias("more")), "w", "left").select("w", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("cw"))
-        w = cut(w.withColumn("tw", root_seating("cw", F.greatest(F.lit(root_tables) - 1, F.lit(0.0)), F.lit(base), F.xxhash64("w", F.lit(sweep)))))
+        w = scratch.save(w.withColumn("tw", root_seating("cw", F.greatest(F.lit(root_tables) - 1, F.lit(0.0)), F.lit(base), F.xxhash64("w", F.lit(sweep)))))
         customers, root_tables = w.agg(F.coalesce(F.sum("cw"), F.lit(0.0)), F.coalesce(F.sum("tw"), F.lit(0.0))).head()
         w = w.select("w", ((F.col("cw") - ROOT_DISCOUNT * F.col("tw") + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) * base)
                            / (ROOT_STRENGTH + customers)).alias("pw"))
-        u = cut(contexts.join(many.groupBy("u").agg(F.sum("t").alias("more")), "u", "left").select("u", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("tu")))
+        u = scratch.save(contexts.join(many.groupBy("u").agg(F.sum("t").alias("more")), "u", "left").select("u", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("tu")))
         if sweep >= burn_in:
             i = sweep - burn_in
             per_word, per_context = per_word.join(w.withColumnRenamed("pw", f"pw{i}"), "w"), per_context.join(u.withColumnRenamed("tu", f"tu{i}"), "u")
@@ -109,26 +110,30 @@ def score(docs: DataFrame, modulus: int = 10, burn_in: int = 1, samples: int = 2
         if sweep < burn_in + samples - 1:
             new = context_seating("c", F.greatest(F.col("tu") - F.col("t"), F.lit(0.0)), "pw", F.xxhash64("u", "w", F.lit(sweep)))
             past = [c for c in many.columns if c not in ("u", "w", "c", "t")]
-            many = cut(many.join(small_side(w, limit), "w").join(small_side(u, limit), "u").select("u", "w", "c", *past, new.alias("t")))
+            many = scratch.save(many.join(near(w), "w").join(near(u), "u").select("u", "w", "c", *past, new.alias("t")))
     own = [f"t{i}" for i in range(samples)]
-    once = pairs.where("c <= 1").select("u", "w", "c", *[F.col("c").alias(t) for t in own])
-    table = many.select("u", "w", "c", *own).unionByName(once).join(small_side(per_word, limit), "w").join(small_side(per_context, limit), "u")
+    single = F.col("c").cast("double")
+    once = pairs.where("c <= 1").select("u", "w", single.alias("c"), *[single.alias(t) for t in own])
+    per_word, per_context = scratch.save(per_word), scratch.save(per_context)
+    table = many.select("u", "w", "c", *own).unionByName(once).join(near(per_word), "w").join(near(per_context), "u")
     seated, unseen = F.lit(0.0), F.lit(0.0)
     for i, t in enumerate(own):
         seated = seated + (F.col("c") - DISCOUNT * F.col(t) + (STRENGTH + DISCOUNT * F.col(f"tu{i}")) * F.col(f"pw{i}")) / (STRENGTH + F.col("cu"))
         unseen = unseen + F.col(f"pw{i}")
     p = F.when(F.col("cu") > 0, seated).otherwise(unseen) / samples
     pair = F.xxhash64("u", "w")
-    # one hash is the join key; the pair itself is compared only where two pairs share their hash
-    table = cut(table.select(pair.alias("pair"), "u", "w", F.log10(p).alias("lp"), F.log10((F.col("count") + 0.1) / F.lit(n + 0.1 * (v + 1))).alias("lb"),
-                             (F.col("count") > 0).alias("known"), (F.col("w") == END).alias("end")))
+    # one hash is the join key of tokens and table; only where two pairs share theirs are the pairs themselves compared
+    table = scratch.save(table.select(pair.alias("pair"), "u", "w", F.log10(p).alias("lp"), F.log10((F.col("count") + 0.1) / F.lit(n + 0.1 * (v + 1))).alias("lb"),
+                                      (F.col("count") > 0).alias("known"), (F.col("w") == END).alias("end")))
+    scratch.drop(pairs)
     shared = table.groupBy("pair").count().where("count > 1").limit(1).count() > 0
     if shared:
         joined = toks.join(table.drop("pair"), ["u", "w"])
     else:
         joined = toks.select("doc_id", "row", pair.alias("pair")).join(table.drop("u", "w"), "pair")
-    summed = joined.groupBy("doc_id", "row").agg(F.count_if("end").alias("times"), F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"),
-                                                 F.sum("lb").alias("base_score"), F.sum("lp").alias("score"))
+    summed = scratch.save(joined.groupBy("doc_id", "row").agg(F.count_if("end").alias("times"), F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"),
+                                                              F.sum("lb").alias("base_score"), F.sum("lp").alias("score")))
+    scratch.drop(table)
     # every row has one end token, so their number tells how often a row is repeated
     out = summed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     each = lambda c: (F.col(c) / F.col("times"))
