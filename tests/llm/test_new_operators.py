@@ -6,10 +6,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from clipgraph.llm import language, periodic, queries, turns
+from clipgraph.registry.check import TABLES, compare
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -229,3 +231,11 @@ def test_runs_of_a_table(spark):
 
 def test_queries_are_registered():
     assert {"op11_turns", "op12_language", "op13_runs"} <= set(queries.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    assert compare(queries.queries()[name](spark, folder), con, queries.oracle_sql()[name]) is None
