@@ -4,12 +4,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators import blocks
-from clipgraph.session import cut, keys, rounds
+from clipgraph.session import cut, join_small, keys, rounds
 
 E = A.E
 
@@ -251,14 +252,51 @@ def match_one_to_one(pairs: DataFrame, c0: float, d: str = "d", max_rounds: int
 
 
 def match_series(a: DataFrame, b: DataFrame, name_a: str, name_b: str, sec: str = "sec", value: str = "change",
-                 min_n: int = 100) -> DataFrame:
-    """Best counterpart of every series of one catalogue in another, by correlation at lag 0 over shared seconds.
+                 min_n: int = 100, chunk: int = 1024, block: int = 256) -> DataFrame:
+    """Best two counterparts of every series of one catalogue in another, by correlation at lag 0 over shared seconds (more than ``min_n``).
 
-    Every pair of series is a result row before the ranking; the join is on the second.
+    Series are dealt into blocks and time into chunks. A task has one block of each catalogue in one chunk as two matrices; six matrix products give the
+    sums of all its pairs at once, so a pair travels once a chunk and not once a second. Values are taken relative to the mean of their series. Rows without
+    a value or a second do not count; of repeated seconds each counts with each.
     """
-    joined = a.select(name_a, sec, F.col(value).alias("_a")).join(b.select(name_b, sec, F.col(value).alias("_b")), sec)
-    r = joined.groupBy(name_a, name_b).agg(E(A.corr("_a", "_b")).alias("r"), F.count(F.lit(1)).alias("n")) \
-              .where(F.col("n") > min_n)
+    def side(df: DataFrame, name: str, own: str, other: str, n_other: Column) -> DataFrame:
+        known = df.select(F.col(name).alias("s"), F.col(sec).alias("t"), F.col(value).cast("double").alias("v")).where("s IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL")
+        centred = join_small(known, known.groupBy("s").agg(F.avg("v").alias("_m")), ["s"]).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
+        dealt = centred.withColumn("c", F.floor(F.col("t") / chunk)).withColumn(own, F.pmod(F.xxhash64("s"), blocks_of(df, name)).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), (n_other - 1).cast("int"))))
+
+    def blocks_of(df: DataFrame, name: str) -> Column:
+        return F.lit(max(1, -(-counts[name] // block)))
+
+    # two numbers: how many series each catalogue has
+    counts = {name: df.agg(F.count_distinct(name)).head()[0] for df, name in ((a, name_a), (b, name_b))}
+    left = side(a, name_a, "ba", "bb", blocks_of(b, name_b)).groupBy("c", "ba", "bb")
+    right = side(b, name_b, "bb", "ba", blocks_of(a, name_a)).groupBy("c", "ba", "bb")
+    kinds = dict(a.dtypes)[name_a], dict(b.dtypes)[name_b]
+    sums = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ["a", "b", *sums]})
+        times, at = np.unique(np.concatenate([one["t"], two["t"]]), return_inverse=True)
+
+        def matrices(f: pd.DataFrame, cols: np.ndarray) -> tuple:
+            names, rows = np.unique(f["s"].to_numpy(), return_inverse=True)
+            out = np.zeros((3, len(names), len(times)))  # numbers, sums and squares of the values of a second
+            for m, v in zip(out, (1.0, f["v"].to_numpy(), f["v"].to_numpy() ** 2)):
+                np.add.at(m, (rows, cols), v)
+            return names, *out
+
+        p, pn, pv, pq = matrices(one, at[:len(one)])
+        q, qn, qv, qq = matrices(two, at[len(one):])
+        got = [pn @ qn.T, pv @ qn.T, pn @ qv.T, pq @ qn.T, pn @ qq.T, pv @ qv.T]
+        i, j = np.nonzero(got[0])
+        return pd.DataFrame({"a": p[i], "b": q[j], **{c: m[i, j] for c, m in zip(sums, got)}})
+
+    parts = left.cogroup(right).applyInPandas(run, f"a {kinds[0]}, b {kinds[1]}, " + ", ".join(f"{c} double" for c in sums))
+    total = parts.groupBy(F.col("a").alias(name_a), F.col("b").alias(name_b)).agg(*[F.sum(c).alias(f"_{c}") for c in sums]).where(F.col("_n") > min_n)
+    spread = "(_xx - _x * _x / _n) * (_yy - _y * _y / _n)"
+    r = total.select(name_a, name_b, E(f"IF({spread} > 1e-24D * _xx * _yy, (_xy - _x * _y / _n) / sqrt({spread}), NULL)").alias("r"), F.col("_n").cast("long").alias("n"))
     w = Window.partitionBy(name_a).orderBy(F.desc_nulls_last("r"), name_b)
     return r.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import with_row_index
@@ -28,28 +29,37 @@ def group_kfold(df: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
     """Group folds balanced by rows: groups, largest first, go to the lightest fold. (group, fold)
 
     Groups of one size are assigned together. With loads L and size s, fold f takes its j-th group of that size at
-    load L_f + j s, so the sequential rule is the order of those values; only (size, number of groups) pairs, at most
-    about the square root of twice the row count, reach the driver, and the assignment itself is a join on
-    (size, rank within the size).
+    load L_f + j s, so the sequential rule is the order of those values (ties to the lower fold), and the fold of the r-th group follows from r, s and L
+    alone. Only (size, number of groups) pairs, at most about the square root of twice the row count, reach the driver.
     """
     spark = df.sparkSession
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_s"))
     ranked = with_row_index(sizes.withColumn("_h", F.xxhash64(F.lit(seed), F.col(by))), "_s", ["_h", by], out="_r")
-    table = sizes.groupBy("_s").agg(F.count(F.lit(1)).alias("_m")).orderBy(F.desc("_s"))
     load = [0] * n
     plan = []
-    for row in table.toLocalIterator():
+    for row in sizes.groupBy("_s").agg(F.count(F.lit(1)).alias("_m")).orderBy(F.desc("_s")).toLocalIterator():
         s, m = int(row["_s"]), int(row["_m"])
-        plan.append((s, m, list(load)))
-        taken = _fill(load, s, m)
-        load = [a + s * t for a, t in zip(load, taken)]
-    steps = spark.createDataFrame(plan, "_s long, _m long, _load array<long>")
-    turns = steps.select("_s", "_m", E("posexplode(_load)").alias("fold", "_l")) \
-                 .select("_s", "_m", "fold", "_l", E("explode(sequence(0L, _m - 1))").alias("_j"))
-    order = Window.partitionBy("_s").orderBy("_at", "fold")
-    slots = turns.withColumn("_at", E("_l + _j * _s")).withColumn("_r", F.row_number().over(order) - 1) \
-                 .where("_r < _m").select("_s", "_r", "fold")
-    return ranked.join(slots, ["_s", "_r"]).select(by, "fold")
+        plan.append((s, list(load)))
+        load = [a + s * t for a, t in zip(load, _fill(load, s, m))]
+    steps = spark.createDataFrame(plan, "_s long, _load array<long>")
+    return join_small(ranked, steps, ["_s"]).select(by, _turn("_load", "_s", "_r").alias("fold"))
+
+
+@F.pandas_udf(IntegerType())
+def _turn(load: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
+    """The fold of the ``rank``-th of equal groups: the placements before a level are counted, and the level is found by halving."""
+    if not len(load):
+        return pd.Series([], dtype="int32")
+    loads, s, r = np.stack(load.to_numpy()).astype(np.int64), size.to_numpy(np.int64)[:, None], rank.to_numpy(np.int64)
+    below = lambda v: np.maximum(0, -(-(v[:, None] - loads) // s)).sum(1)
+    lo, hi = loads.min(1), loads.max(1) + s[:, 0] * (r + 1)
+    while (lo < hi).any():  # largest level with at most ``rank`` placements below it
+        mid = (lo + hi + 1) // 2
+        fits = below(mid) <= r
+        lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+    at = (lo[:, None] >= loads) & ((lo[:, None] - loads) % s == 0)  # folds with a placement at the level
+    nth = np.cumsum(at, axis=1) - 1
+    return pd.Series((at & (nth == (r - below(lo))[:, None])).argmax(1).astype(np.int32))
 
 
 def _fill(load: list[int], size: int, count: int) -> list[int]:

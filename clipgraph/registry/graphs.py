@@ -390,6 +390,13 @@ def _(spark, d):
     return long(G.blend_cluster_mean(probs(spark, d), clusters(spark, d), 0.5))
 
 
+@query("average_linkage")
+def _(spark, d):
+    from clipgraph.operators.linkage import average_linkage
+
+    return average_linkage(emb(spark, d), "grp", per=20.0).select("clip_id", "component")
+
+
 def runs(spark, d):
     a = probs(spark, d).select("grp", "clip_id", "p", F.lit("a").alias("run"))
     return a.unionByName(evidence(spark, d).select("grp", "clip_id", "p", F.lit("b").alias("run")))

@@ -14,7 +14,10 @@ from clipgraph.registry.core import (N_CLASSES, E, cte, edges, emb, events, evid
                                      with_ctes)
 
 
-@query("group_folds_balanced")
+@query("group_folds_balanced", """WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n DESC, user_id) AS i FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)),
+deal AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n UNION ALL
+SELECT d.i + 1, list_transform(range(1, 6), lambda k: d.load[k] + CASE WHEN k = list_position(d.load, list_min(d.load)) THEN g.n ELSE 0 END), list_position(d.load, list_min(d.load)) - 1, g.n FROM deal d JOIN g ON g.i = d.i + 1)
+SELECT CAST(fold AS INT) AS fold, CAST(sum(n) AS BIGINT) AS "rows", count(*) AS groups FROM deal WHERE fold IS NOT NULL GROUP BY fold""")
 def _(spark, d):
     folds = ml.group_kfold(events(spark, d), "rec", 5, seed=1)
     return events(spark, d).select("rec").join(folds, "rec").groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("rec").alias("groups"))
