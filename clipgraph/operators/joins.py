@@ -220,16 +220,16 @@ def mutual_best(pairs: DataFrame, ratio: float | None = None, dmax: float | None
                 by=None) -> DataFrame:
     """Pairs that are each other's best, under a limit on best / second best of the row and on the distance."""
     by = keys(by)
-    row = Window.partitionBy(*by, "src").orderBy(d, "dst")
-    col = Window.partitionBy(*by, "dst").orderBy(d, "src")
-    ranked = pairs.withColumn("_second", F.lead(d).over(row)).withColumn("_rr", F.row_number().over(row)) \
-                  .withColumn("_rc", F.row_number().over(col))
-    out = ranked.where("_rr = 1 AND _rc = 1")
+    row = Window.partitionBy(*by, "src").orderBy(d, "dst")  # one row's candidates
+    ranked = pairs.withColumn("_second", F.lead(d).over(row)).withColumn("_rr", F.row_number().over(row)).where("_rr = 1")
+    # a target may be the candidate of very many rows: its best one is a partly combined minimum, joined on the pair
+    best = pairs.groupBy(*by, "dst").agg(F.min(F.struct(F.col(d).alias("_d"), F.col("src").alias("src"))).alias("_best")).select(*by, "dst", "_best.src")
+    out = ranked.join(best, [*by, "src", "dst"], "left_semi")
     if ratio is not None:
         out = out.where(E(f"_second IS NULL OR {d} / (_second + 1e-9D) < {A.num(ratio)}"))
     if dmax is not None:
         out = out.where(F.col(d) < dmax)
-    return out.drop("_second", "_rr", "_rc")
+    return out.drop("_second", "_rr")
 
 
 def match_one_to_one(pairs: DataFrame, c0: float, d: str = "d", max_rounds: int | None = None) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a temporary one only when unset."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine and an error on a cluster."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clipgraph-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
