@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 from itertools import count
 
@@ -28,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and read it back: unlike a checkpoint the table carries no facts of its plan along, which add up
+    over many rounds."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rounds(limit: int | None) -> Iterable[int]:
     """Numbers of rounds, without end when no limit is given."""
     return count() if limit is None else range(limit)
