@@ -45,20 +45,26 @@ def same_key(left: str, right: str, names: list[str]) -> Column:
 
 
 class Scratch:
-    """Tables of one computation as Parquet in the shared checkpoint folder. A superseded table is dropped as soon as nothing reads it."""
+    """Tables of one computation as Parquet in the shared checkpoint folder. A superseded table is dropped as soon as nothing reads it.
 
-    def __init__(self, spark: SparkSession):
+    ``settings`` hold while a table is written.
+    """
+
+    def __init__(self, spark: SparkSession, settings: dict[str, str] | None = None):
         self.spark, self.folder, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+        self.settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (settings or {})
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write a table and read it back; the shuffle files of the job go with its end, since later plans start from the table."""
-        path, setting = f"{self.folder}/{len(self.paths)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(setting)
-        self.spark.conf.set(setting, "true")
+        path = f"{self.folder}/{len(self.paths)}"
+        before = {k: self.spark.conf.get(k) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(setting, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[out] = path
         return out
