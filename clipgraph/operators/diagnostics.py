@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays as A
 from clipgraph.operators import metrics as M
 from clipgraph.operators.ordered import quantiles
-from clipgraph.session import join_small, keys
+from clipgraph.session import cut, join_small, keys
 
 E = A.E
 
@@ -249,10 +249,22 @@ def per_class_report(rows: DataFrame, preds: Sequence[str], label: str = "label"
     for p in preds:
         part = M.prf(M.confusion(rows, label, p, by), by, label, p).select(*by, "class", F.col("f1").alias(f"f1_{p}"))
         out = part if out is None else out.join(part, [*by, "class"], "full_outer")
-    out = out.na.fill(0.0)
+    out = out.na.fill(0.0, [f"f1_{p}" for p in preds])  # a null label stays a class of its own
     return out.withColumn("best", F.greatest(*[f"f1_{p}" for p in preds]) if len(preds) > 1 else F.col(f"f1_{preds[0]}"))
 
 
+def per_class_sides(rows: DataFrame, preds: Sequence[str], side: str, sides: Sequence[str], n_classes: int, label: str = "label") -> DataFrame:
+    """``per_class_report`` over a fixed class list, with the recall of the first prediction on each side, and the means as a row of null class.
+
+    A class without rows on a side has recall 0 there. Rows with a null label or of another side count in the F1 only.
+    """
+    hit = (F.col(label) == F.col(preds[0])).cast("double")
+    recalls = rows.groupBy(F.col(label).alias("class")).agg(*[F.avg(F.when(F.col(side) == v, hit)).alias(f"recall_{v}") for v in sides])
+    listed = rows.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("class"))
+    full = cut(listed.join(per_class_report(rows, preds, label), "class", "left").join(recalls, "class", "left").na.fill(0.0))
+    return full.unionByName(full.agg(F.lit(None).cast("int").alias("class"), *[F.avg(c).alias(c) for c in full.columns if c != "class"]))
+
+
 def label_sensitivity(rows: DataFrame, variants: dict[str, DataFrame], n_classes: int, label: str = "label",
                       pred: str = "pred") -> DataFrame:
     """The same predictions scored under altered row sets or labels: (variant, f1)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays as A
 from clipgraph.operators.ordered import average_ranks, prefix_counts, quantiles, with_row_index
-from clipgraph.session import join_small, keys
+from clipgraph.session import cut, join_small, keys
 
 E = A.E
 
@@ -232,7 +232,7 @@ def bootstrap_ci(conf: DataFrame, by: str, reps: int, seed: int = 0, y: str = "y
                  config: Sequence[str] = (), lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Group bootstrap of the macro-F1 over present classes: (config, lo, hi, mean) over ``reps`` replicates.
 
-    Every replicate draws as many groups as there are, with replacement, by a hash of (seed, replicate, draw).
+    Every replicate draws as many groups as there are, with replacement, by the md5 of seed:replicate:draw.
     """
     config = list(config)
     scores = bootstrap_scores(conf, by, reps, seed, y, pred, config)
@@ -247,7 +247,7 @@ def bootstrap_draws(groups: DataFrame, by: str, reps: int, seed: int) -> DataFra
     """(rep, group, k): how often each group was drawn in each replicate."""
     indexed = with_row_index(groups.select(by).distinct(), None, [by], out="_g", size="_n")
     draws = indexed.select(E(f"explode(sequence(0, {reps - 1}))").alias("rep"), F.col("_g").alias("_d"), "_n")
-    draws = draws.select("rep", E(f"pmod(xxhash64({seed}, rep, _d), _n)").alias("_g"))
+    draws = draws.select("rep", E(f"pmod(CAST(conv(substr(md5(concat_ws(':', {seed}, rep, _d)), 1, 8), 16, 10) AS BIGINT), _n)").alias("_g"))
     return draws.groupBy("rep", "_g").agg(F.count(F.lit(1)).alias("k")) \
                 .join(indexed.select(by, "_g"), "_g").select("rep", by, "k")
 
@@ -259,6 +259,31 @@ def bootstrap_scores(conf: DataFrame, by: str, reps: int, seed: int = 0, y: str
     return macro_f1(prf(weighted, [*config, "rep"], y, pred), None, [*config, "rep"])
 
 
+def bootstrap_paired(conf: DataFrame, by: str, reps: int, config: str, pairs: Sequence[tuple[str, str]], seed: int = 0, y: str = "y",
+                     pred: str = "pred", lo: float = 0.025, hi: float = 0.975) -> DataFrame:
+    """Gain in macro-F1 from one configuration to another: (a, b, diff, lo, hi, improved, groups), one row per pair (a, b).
+
+    All configurations see the same draws, so a replicate gives one difference of each pair. ``diff`` is the gain over the whole table,
+    ``improved`` the number of groups that score higher under b, ``groups`` those scored under both. A configuration without rows has nulls.
+    """
+    names = sorted({c for pair in pairs for c in pair})
+
+    def gains(scores: DataFrame, own: list[str]) -> DataFrame:
+        wide = scores.groupBy(*own).pivot(config, names).agg(F.first("f1"))
+        each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"`{b}`") - F.col(f"`{a}`")).alias("diff")) for a, b in pairs]
+        return wide.select(*own, F.explode(F.array(*each)).alias("_p")).select(*own, "_p.*")
+
+    def scored(own: list[str]) -> DataFrame:
+        sums = conf.groupBy(config, *own, y, pred).agg(F.sum("n").alias("n"))
+        return macro_f1(prf(sums, [config, *own], y, pred), None, [config, *own])
+
+    draws = cut(gains(bootstrap_scores(conf, by, reps, seed, y, pred, [config]), ["rep"]))
+    q = quantiles(draws, ["a", "b"], "diff", [lo, hi])
+    ends = q.groupBy("a", "b").agg(F.max(F.when(F.col("q") == lo, F.col("diff"))).alias("lo"), F.max(F.when(F.col("q") == hi, F.col("diff"))).alias("hi"))
+    own = gains(scored([by]), [by]).groupBy("a", "b").agg(F.count_if(F.col("diff") > 1e-12).alias("improved"), F.count("diff").alias("groups"))
+    return gains(scored([]), []).join(ends, ["a", "b"], "left").join(own, ["a", "b"], "left")
+
+
 def bootstrap_auc(pairs: DataFrame, a: str, b: str, score: str, y: str, reps: int, seed: int = 0) -> DataFrame:
     """AUC over pairs of units under a unit bootstrap: a pair counts k_a * k_b times. (rep, auc)"""
     units = pairs.select(F.col(a).alias("_u")).union(pairs.select(F.col(b).alias("_u")))

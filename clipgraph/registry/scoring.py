@@ -210,11 +210,35 @@ def _(spark, d):
     return rounded(M.cell_shares(table(spark, d, "documents").select("source", "lang"), "source", "lang"))
 
 
-@query("bootstrap_interval")
+cte("bgrp", "SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM pred)", "pred")
+cte("bdraw", "SELECT rep, b.grp, k FROM (SELECT rep, CAST('0x' || substr(md5('1:' || rep || ':' || g), 1, 8) AS BIGINT) % n AS g, count(*) AS k FROM bgrp, range(200) AS t(rep) "
+             "GROUP BY ALL) JOIN bgrp b USING (g)", "bgrp")
+cte("bconf", "SELECT config, grp, label, pred, count(*) AS n FROM (SELECT 'refined' AS config, grp, label, pred FROM pred UNION ALL SELECT 'base', grp, label, base_pred FROM pred) "
+             "GROUP BY ALL", "pred")
+for _name, _src, _key in (("bdrawn", "(SELECT config, rep, label, pred, sum(n * k) AS n FROM bconf JOIN bdraw USING (grp) GROUP BY ALL)", "config, rep"),
+                          ("bown", "bconf", "config, grp"), ("bwhole", "bconf", "config")):
+    cte(_name, f"SELECT {_key}, avg(2.0 * tp / (sup + prd)) AS f1 FROM (SELECT {_key}, c, sum(sup) AS sup, sum(prd) AS prd, sum(tp) AS tp FROM (SELECT {_key}, label AS c, n AS sup, 0 AS prd, "
+               f"CASE WHEN label = pred THEN n ELSE 0 END AS tp FROM {_src} UNION ALL SELECT {_key}, pred, 0, n, 0 FROM {_src}) GROUP BY {_key}, c) GROUP BY {_key}", "bconf", "bdraw")
+
+
+@query("bootstrap_interval", with_ctes(f"SELECT {r('quantile_cont(f1, 0.025)')} AS lo, {r('quantile_cont(f1, 0.975)')} AS hi, {r('avg(f1)')} AS mean FROM bdrawn "
+                                       "WHERE config = 'refined'", "bdrawn"))
 def _(spark, d):
     return rounded(M.bootstrap_ci(M.confusion(predictions(spark, d), "label", "pred", "grp"), "grp", 200, 1, "label", "pred"))
 
 
+@query("bootstrap_paired_difference", with_ctes(
+    f"SELECT 'base' AS a, 'refined' AS b, {r('(SELECT max(f1) FILTER (config = $$refined$$) - max(f1) FILTER (config = $$base$$) FROM bwhole)')} AS diff, "
+    f"{r('quantile_cont(y.f1 - x.f1, 0.025)')} AS lo, {r('quantile_cont(y.f1 - x.f1, 0.975)')} AS hi, "
+    "(SELECT count(*) FROM bown u JOIN bown v USING (grp) WHERE u.config = 'base' AND v.config = 'refined' AND v.f1 - u.f1 > 1e-12) AS improved, "
+    "(SELECT count(*) FROM bown WHERE config = 'base') AS groups FROM bdrawn x JOIN bdrawn y USING (rep) WHERE x.config = 'base' AND y.config = 'refined'",
+    "bdrawn", "bown", "bwhole"))
+def _(spark, d):
+    p = predictions(spark, d)
+    both = p.select("grp", "label", "pred", F.lit("refined").alias("config")).unionByName(p.select("grp", "label", F.col("base_pred").alias("pred"), F.lit("base").alias("config")))
+    return rounded(M.bootstrap_paired(M.confusion(both, "label", "pred", ["config", "grp"]), "grp", 200, "config", [("base", "refined")], 1, "label", "pred"))
+
+
 @query("bootstrap_pair_auc")
 def _(spark, d):
     pairs = D.with_ends(edges(spark, d), labels_of(spark, d), ["label"]).selectExpr(
@@ -617,6 +641,21 @@ def _(spark, d):
     return rounded(D.per_class_report(predictions(spark, d), ["pred", "base_pred"]))
 
 
+cte("sides", "SELECT k, " + ", ".join(f"coalesce(2.0 * {x}.tp / ({x}.sup + {x}.prd), 0) AS {n}" for x, n in (("a", "f"), ("b", "g")))
+    + ", coalesce(s.arm, 0) AS arm, coalesce(s.leg, 0) AS leg FROM range(10) AS t(k) LEFT JOIN pf_cls a USING (k) LEFT JOIN bcls_cls b USING (k) LEFT JOIN (SELECT label AS k, "
+    "avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END) FILTER (clip_id % 4 < 2) AS arm, avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END) FILTER (clip_id % 4 >= 2) AS leg "
+    "FROM pred GROUP BY label) s USING (k)", "pf_cls", "bcls_cls", "pred")
+_columns = (("f", "f1_pred"), ("g", "f1_base_pred"), ("greatest(f, g)", "best"), ("arm", "recall_arm"), ("leg", "recall_leg"))
+
+
+@query("per_class_report_by_side", with_ctes(
+    "SELECT CAST(k AS INT) AS class, " + ", ".join(f"{r(x)} AS {n}" for x, n in _columns) + " FROM sides UNION ALL SELECT NULL, "
+    + ", ".join(r(f"avg({x})") for x, _ in _columns) + " FROM sides", "sides"))
+def _(spark, d):
+    rows = predictions(spark, d).withColumn("side", E("IF(clip_id % 4 < 2, 'arm', 'leg')"))
+    return rounded(D.per_class_sides(rows, ["pred", "base_pred"], "side", ["arm", "leg"], N_CLASSES))
+
+
 cte("variants", "SELECT 'as is' AS variant, label, pred FROM pred UNION ALL SELECT 'excluded', label, pred FROM pred WHERE NOT (grp = 2 AND clip_id // 5 >= 20) UNION ALL SELECT 'shifted', "
                 "coalesce(l.label, p.label), pred FROM pred p LEFT JOIN emb l ON l.clip_id = p.clip_id + 15 AND p.grp = 1", "pred", "emb")
 f1_cte("variantf1", "variants", "variant")
@@ -647,9 +686,7 @@ def _(spark, d):
 
 @query("parameter_sweep")
 def _(spark, d):
-    grid = [{"config": "k5", "k": 5}, {"config": "k10", "k": 10}]
-    run = lambda e, p, v, **s: plans.refine(e, p, v, drop=3, iters=2, stages=(), **s)
-    return rounded(plans.sweep(emb(spark, d), probs(spark, d), evidence(spark, d), labels_of(spark, d), grid, N_CLASSES, run))
+    return rounded(plans.sweep([(emb(spark, d), probs(spark, d), evidence(spark, d))], labels_of(spark, d), {"k": [15, 20], "temp": [1.2]}, N_CLASSES))
 
 
 @query("base_graph_table")
