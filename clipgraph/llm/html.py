@@ -2,7 +2,8 @@
 
 Every page is parsed into a tree of block containers. A paragraph scores by length and commas, its parent gets the
 points and its grandparent half of them; a container's points are discounted by its link density. The best container
-and those siblings that score close to it, or are prose, headings, lists, quotes or tables of their own, are kept. Pages are independent of each other,
+and those siblings that score close to it, or are prose, headings, lists, quotes or tables of their own, are kept; beside an article, articles
+that score close to it. A form is furniture unless its paragraphs hold more prose than the rest of the page. Pages are independent of each other,
 so the work is one map over Arrow batches without a shuffle.
 
 Null or empty html gives the empty text. Repeated rows give repeated results; other columns pass through untouched.
@@ -10,6 +11,7 @@ Null or empty html gives the empty text. Repeated rows give repeated results; ot
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,7 +23,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
                    "sub sup time tt u var wbr".split())
 #: Elements whose content is never article text.
-SKIPPED = frozenset("nav header footer aside form script style noscript template iframe object svg math button select textarea input dialog menu "
+SKIPPED = frozenset("nav header footer aside script style noscript template iframe object svg math button select textarea input dialog menu "
                     "head title canvas audio video".split())
 #: Words of class, id and role values that mark page furniture, adverts, notices and comments.
 FURNITURE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation "
@@ -35,6 +37,9 @@ SIBLINGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure f
 SOFT, HARD = 1, 2
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
                      "section table ul".split())
+#: Elements that hold text themselves: their names mark furniture only where at least half of the words do.
+TEXTUAL = frozenset("p li dd dt blockquote pre td th h1 h2 h3 h4 h5 h6 figcaption".split())
+PARAGRAPHS = frozenset("p blockquote pre article main".split())
 SPACE = re.compile(r"[\s\xa0]+")
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -56,6 +61,7 @@ class Tree(HTMLParser):
         self.root = self.at = Node("root", None)
         self.links = 0
         self.muted: list[str] = []
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         if self.muted:
@@ -67,7 +73,9 @@ class Tree(HTMLParser):
             return
         if tag in VOID:
             return
-        bad = HARD if tag in SKIPPED else self.furniture(tag, attrs)
+        if tag == "form" and self.open["form"]:
+            return  # forms do not nest
+        bad = HARD if tag in SKIPPED else max(SOFT if tag == "form" else 0, self.furniture(tag, attrs))
         if tag in INLINE:
             if bad:
                 self.muted.append(tag)
@@ -88,6 +96,7 @@ class Tree(HTMLParser):
         node = Node(tag, self.at, max(bad, self.at.skip), bad)
         self.at.items.append(node)
         self.at = node
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -99,20 +108,26 @@ class Tree(HTMLParser):
             if tag in self.muted:
                 while self.muted.pop() != tag:
                     pass
-            return
+                return
+            if tag in INLINE or not self.open[tag]:
+                return
+            self.muted.clear()  # an unclosed inline element ends with the block around it
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag not in INLINE and tag not in VOID:
             self.close_block(tag, ())
 
     def close_block(self, tag: str, stops: tuple[str, ...]) -> None:
+        if not self.open[tag]:
+            return
         node = self.at
-        while node is not None and node.tag != tag:
-            if node.tag in stops or node.tag == "root":
+        while node.tag != tag:
+            if node.tag in stops:
                 return
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_data(self, data):
         if self.muted or self.at.skip == HARD:
@@ -128,19 +143,21 @@ class Tree(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return HARD
-            if name in ("class", "id", "role") and value and any(marks(token) for token in value.split()):
+            if name in ("class", "id", "role") and value and any(marks(token, tag in TEXTUAL) for token in value.split()):
                 return SOFT
             if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
                 return HARD
         return 0
 
 
-def marks(token: str) -> bool:
-    """Whether one class, id or role names page furniture; modifier forms (has-sidebar, no-comments, overflow-hidden, hidden-xs) do not."""
+def marks(token: str, textual: bool = False) -> bool:
+    """Whether one class, id or role names page furniture; modifier forms (has-sidebar, no-comments, overflow-hidden, hidden-xs) do not, nor do names
+    of paragraphs and the like in which most words say something else (comment-on-law)."""
     words = NAME_PART.findall(token.lower())
     if not MODIFIERS.isdisjoint(words) or len(words) > 1 and "hidden" in words:
         return False
-    return not FURNITURE.isdisjoint(words)
+    named = sum(w in FURNITURE for w in words)
+    return named > 0 and not (textual and 2 * named < len(words))
 
 
 def walk(root: Node) -> list[Node]:
@@ -194,6 +211,19 @@ def prose(node: Node) -> int:
     return total
 
 
+def paragraphs(form: Node) -> int:
+    """Prose of the paragraphs in a form: labels and captions of its fields do not make it the content of a page."""
+    total, stack = 0, [form]
+    while stack:
+        for x in stack.pop().items:
+            if not isinstance(x, str) and not x.own:
+                if x.tag in PARAGRAPHS:
+                    total += prose(x)
+                else:
+                    stack.append(x)
+    return total
+
+
 def overruled(root: Node) -> Node:
     """The root to read from: blocks left out by their names come back where they hold more prose than all that is left.
 
@@ -209,7 +239,7 @@ def overruled(root: Node) -> Node:
         stack.extend(x for x in node.items if not isinstance(x, str) and x.skip != HARD)
     if not soft or any(not x.skip and prose(x) for x in inside):
         return root
-    sizes = [(prose(x), x.tag in ("article", "main"), x) for x in soft + [x for x in inside if x.skip]]
+    sizes = [(paragraphs(x) if x.tag == "form" else prose(x), x.tag in ("article", "main"), x) for x in soft + [x for x in inside if x.skip]]
     # of blocks with the same prose, an article or main stands for the block around it
     size, whole, best = max(sizes, key=lambda s: s[:2])
     if size <= prose(root):
@@ -257,8 +287,12 @@ def main_text(page: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
-    if best.parent is None or best.tag in ("html", "body", "article", "main"):
+    if best.parent is None or best.tag in ("html", "body", "main"):
         kept = [best]
+    elif best.tag == "article":
+        # articles side by side are parts of one page as far as they score; cards of links lose their points
+        limit = max(10.0, 0.2 * best.score)
+        kept = [x for x in best.parent.items if not isinstance(x, str) and not x.skip and (x is best or x.tag == "article" and x.score >= limit)]
     else:
         limit = max(10.0, 0.2 * best.score)
         kept = []

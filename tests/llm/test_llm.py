@@ -419,3 +419,27 @@ def test_toxicity_trains_on_whole_texts(spark):
     known = {g for w in toxic.words_of(run) for g in toxic.grams(w)}
     assert {zlib.crc32(run[i:i + n].encode()) % toxic.BUCKETS for n in (3, 4, 5) for i in range(len(run) - n + 1)} <= known
     assert model.score(run[:90] + "horribledreadful" + run[90:]) > model.score(run) + 0.1
+
+
+def test_html_unclosed_inline_forms_and_sibling_articles():
+    long_ = "Some sentence, with a clause, and more words. " * 8
+    text = long_.strip()
+    for mute in ("<i class='social-icon'>x", "<a class='share' href=1>x", "<span hidden>x"):
+        assert html.main_text(f"<body><div><p>{long_}{mute}</p><p>Next. {long_}</p></div></body>") == f"{text} Next. {text}"
+    assert html.main_text(f"<form><div>Name</div><article><p>{long_}</p></article></form>") == text
+    assert html.main_text(f"<form><nav>menu</nav><div><p>{long_}</p><p>Be.</p></div><form><p>Search</p></form></form>").startswith(text)
+    assert html.main_text("<form><label>Name</label><div>Send</div></form>") == ""
+    assert html.main_text(f"<article><p>{long_}</p></article><form><p>Your name, please.</p></form>") == text
+    assert html.main_text(f"<body><article><p>{long_}</p></article><article><p>B. {long_}</p></article><article><a href=1>card</a></article></body>") == f"{text} B. {text}"
+    assert html.main_text(f"<article><p class='comment-on-law'>{long_}</p><p class='share'>Share</p></article>") == text
+
+
+def test_html_stray_end_tags_cost_little():
+    import time
+
+    def seconds(n):
+        page, start = "<div>" * n + "</section>" * n + "<p>deep, text</p>", time.process_time()
+        assert html.main_text(page) == "deep, text"
+        return time.process_time() - start
+
+    assert seconds(8000) < 6 * max(seconds(4000), 0.01)
